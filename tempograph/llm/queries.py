@@ -7,6 +7,7 @@ import importlib
 #: query -> module of this subpackage that holds it
 QUERIES = {
     "op2_simhash_near_dedup": "simhash",
+    "op3_byte_bpe": "bpe",
 }
 
 

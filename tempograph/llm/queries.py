@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op2_simhash_near_dedup": "simhash",
     "op3_byte_bpe": "bpe",
+    "op6_substring_dedup": "substrings",
     "op9_benchmark_decontamination": "decontaminate",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,12 +25,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by `table` once nothing reads it any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    # lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table written by `table` that nothing reads any more."""
+    spark = table.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module of this subpackage that holds it
 QUERIES = {
+    "op1_line_dedup": "lines",
     "op2_simhash_near_dedup": "simhash",
     "op3_byte_bpe": "bpe",
     "op6_substring_dedup": "substrings",

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_line_dedup": "lines",
     "op2_simhash_near_dedup": "simhash",
     "op3_byte_bpe": "bpe",
+    "op5_toxicity": "toxicity",
     "op6_substring_dedup": "substrings",
     "op9_benchmark_decontamination": "decontaminate",
 }

@@ -11,6 +11,7 @@ QUERIES = {
     "op3_byte_bpe": "bpe",
     "op5_toxicity": "toxicity",
     "op6_substring_dedup": "substrings",
+    "op7_quality_classifier": "quality",
     "op9_benchmark_decontamination": "decontaminate",
 }
 

@@ -163,12 +163,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     with_hits = docs.join(hits.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     found = store.table(_candidates(with_hits), "candidates")
     store.drop(hits)
-    distinct = found.groupBy("print", "span").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    each = store.table(distinct.select("print", "span", "n", F.posexplode("windows").alias("i", "window")), "windows")
-    twice = each.groupBy("print", "window").agg(F.sum("n").alias("n")).where("n > 1").select("print", "window")
-    masks = each.join(twice, ["print", "window"]).groupBy("print", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    spans = found.select("doc_id", "th", "print", "span", "start").join(masks, ["print", "span"])
-    return store.table(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("spans")), "spans")
+    distinct = store.table(found.groupBy("print", "span").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "distinct")
+    places = store.table(found.drop("windows"), "places")
+    store.drop(found)
+    each = distinct.select("print", "span", "n", F.posexplode("windows").alias("i", "window"))
+    twice = store.table(each.groupBy("print", "window").agg(F.sum("n").alias("n")).where("n > 1").select("print", "window"), "twice")
+    masks = each.drop("n").join(twice, ["print", "window"]).groupBy("print", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    masks = store.table(masks, "masks")
+    for gone in (distinct, twice):
+        store.drop(gone)
+    spans = places.join(masks, ["print", "span"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
+    spans = store.table(spans, "spans")
+    for gone in (places, masks):
+        store.drop(gone)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_line_dedup": "lines",
     "op2_simhash_near_dedup": "simhash",
     "op3_byte_bpe": "bpe",
+    "op4_document_fingerprints": "winnow",
     "op5_toxicity": "toxicity",
     "op6_substring_dedup": "substrings",
     "op7_quality_classifier": "quality",

@@ -13,6 +13,7 @@ QUERIES = {
     "op5_toxicity": "toxicity",
     "op6_substring_dedup": "substrings",
     "op7_quality_classifier": "quality",
+    "op8_html_extraction": "html",
     "op9_benchmark_decontamination": "decontaminate",
 }
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op7_quality_classifier": "quality",
     "op8_html_extraction": "html",
     "op9_benchmark_decontamination": "decontaminate",
+    "op10_chat_formatting": "chat",
 }
 
 

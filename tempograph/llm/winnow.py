@@ -20,10 +20,25 @@ POSITION = (1 << 24) - 1
 RANGE_ROWS, MOST_RANGES = 128, 1 << 14
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once; inside a lambda a plain column expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def joined(a: Column, b: Column, ahead: int, op) -> Column:
+    """op(a[i], b[i + ahead]) for each i; where b has ended, op of a[i] alone."""
+    return F.zip_with(a, F.slice(b, ahead + 1, F.size(a)), lambda x, y: op(x, y))
+
+
 def grams(text: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0)), lambda w: F.xxhash64(w))
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - K + 1), lambda i: F.xxhash64(F.slice(words, i, K)))
-    return F.when(F.size(words) >= K, many).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+    """Hash of each K = 5 consecutive words: pairs, pairs of pairs, and the fifth word, so that work is shared by neighbours."""
+
+    def of(words):
+        fours = bound(joined(words, words, 1, F.xxhash64), lambda twos: joined(twos, twos, 2, F.xxhash64))
+        fives = F.slice(joined(fours, words, 4, F.xxhash64), 1, F.size(words) - K + 1)
+        return F.when(F.size(words) >= K, fives).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+
+    return bound(F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0)), lambda w: F.xxhash64(w)), of)
 
 
 def marked(grams: Column) -> Column:
@@ -32,13 +47,22 @@ def marked(grams: Column) -> Column:
 
 
 def chosen(marked: Column) -> Column:
-    least = F.transform(F.sequence(F.lit(1), F.size(marked) - W + 1), lambda i: F.array_min(F.slice(marked, i, W)))
-    return F.when(F.size(marked) > W, F.array_distinct(least)).when(F.size(marked) > 0, F.array(F.array_min(marked))).otherwise(F.array().cast("array<long>"))
+    """Distinct lowest values of each W = 16 consecutive ones, by minima over 2, 4, 8 and 16."""
+
+    def of(values):
+        twos = joined(values, values, 1, F.least)
+        fours = bound(twos, lambda v: joined(v, v, 2, F.least))
+        eights = bound(fours, lambda v: joined(v, v, 4, F.least))
+        least = bound(eights, lambda v: joined(v, v, 8, F.least))
+        full = F.slice(least, 1, F.size(values) - W + 1)
+        return F.when(F.size(values) > W, F.array_distinct(full)).when(F.size(values) > 0, F.array(F.array_min(values))).otherwise(F.array().cast("array<long>"))
+
+    return bound(marked, of)
 
 
 def with_choices(df: DataFrame, text: str, to: str) -> DataFrame:
     """Adds an array of choices for the text column."""
-    return df.withColumn("__g", grams(F.col(text))).withColumn("__g", marked(F.col("__g"))).withColumn(to, chosen(F.col("__g"))).drop("__g")
+    return df.withColumn(to, chosen(marked(grams(F.col(text)))))
 
 
 def as_string(choices: str) -> Column:

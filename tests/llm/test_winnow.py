@@ -21,7 +21,8 @@ def plain_choices(text):
             h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
         return h
 
-    grams = [fold(words[i : i + K]) for i in range(len(words) - K + 1)] if len(words) >= K else [fold(words)] * bool(words)
+    five = lambda a, b, c, d, e: fold([fold([fold([a, b]), fold([c, d])]), e])
+    grams = [five(*words[i : i + K]) for i in range(len(words) - K + 1)] if len(words) >= K else [fold(words)] * bool(words)
     out = []
     for s in range(max(1, len(grams) - W + 1)) if grams else []:
         # lowest hash, rightmost on ties

@@ -11,6 +11,11 @@ PITCH_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 FLATS = {"DB": 1, "EB": 3, "GB": 6, "AB": 8, "BB": 10, "CB": 11, "FB": 4}
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once; a plain column expression inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def db_to_gain(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
 

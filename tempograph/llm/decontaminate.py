@@ -17,7 +17,7 @@ WINDOW = 13
 #: Characters of benchmark text that are held at a time; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 8 << 20
 #: Bytes of document text in one training shard, that is one FM-index.
-SHARD = 1 << 22
+SHARD = 1_000_000
 
 
 class Phrases:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,10 +133,8 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
                     n_dropped[words.lo + r] = len(drop)
             n_lines[texts.is_null().to_numpy(zero_copy_only=False)] = 0
             if new:
-                values = texts.to_pylist()
-                for i, t in new.items():
-                    values[i] = t
-                texts = pa.array(values, texts.type)
+                changed = pa.array(np.isin(np.arange(len(texts)), list(new)))
+                texts = pc.replace_with_mask(texts, changed, pa.array([new[i] for i in sorted(new)], texts.type))
             columns = [texts if i == where else batch.column(c) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], names=[*names, "n_lines", "n_dropped"])
 

@@ -19,7 +19,7 @@ WORD_WEIGHT = 0.3
 NEIGHBOURS = 15
 #: Documents of either class whose vectors are broadcast, at most: 2 * PER_CLASS * DIM floats.
 PER_CLASS = 1500
-BLOCK = 2048
+BLOCK = 512
 THRESHOLD = 0.3
 
 _IDS = np.arange(256)

@@ -14,17 +14,17 @@ from tempograph.llm.words import LOWER, SPACED, WORD, Words, runs, split_words
 
 BUCKETS = 1 << 20
 DIM = 4
-GRAMS = (3, 4, 5)
+GRAMS = (3,)
 #: Documents of either class that the model is fitted on, at most.
-PER_CLASS = 1200
+PER_CLASS = 3000
 #: The worst passages are chosen anew in each round of so many steps.
 ROUNDS, STEPS = 6, 12
 RATE, MOMENTUM, DECAY = 1000.0, 0.9, 1e-5
 #: Subwords of fewer sample documents say nothing about unseen ones and get no embedding.
-MIN_DOCS = 15
+MIN_DOCS = 30
 THRESHOLD = 0.3
 #: Words of a passage; a document scores as its worst passage, so that a long text cannot dilute an insult.
-PASSAGE = 128
+PASSAGE = 64
 EDGE = np.frombuffer(b"<>", np.uint8)
 
 
@@ -69,7 +69,8 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, column) -> np.ndarray:
+    def margin(self, column) -> np.ndarray:
+        """Log-odds of label 1: the bias and the highest passage mean of each text, 0 for a text without words."""
         out = np.full(len(column), self.bias)
         for words in split_words(column, SPACED, lower=True):
             if not len(words):
@@ -85,7 +86,10 @@ class Model:
             np.maximum.at(best, row, mean)
             some = words.counts > 0
             out[words.lo : words.hi][some] += best[some]
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        return out
+
+    def score(self, column) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(column), -500, 500)))
 
 
 def _entries(column) -> Iterator[tuple[np.ndarray, ...]]:
@@ -146,15 +150,17 @@ def fit(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Model:
     A bag averages its subwords' embeddings, each weighted by its idf. The
     loss of a document is that of its worst passage, chosen anew in each
     round. Classes weigh alike in the sample; the bias is then moved to the
-    share of label 1. Without both classes every score is the share.
+    share of label 1. Without both classes, or without any subword that is
+    frequent enough, every score is the share.
     """
     share = min(max(share, 1e-3), 1 - 1e-3)
     prior = float(np.log(share / (1 - share)))
+    nothing = Model(np.zeros(BUCKETS, np.float32), prior)
     if len(np.unique(y)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), prior)
+        return nothing
     owner, bag, bucket, weight, factor, used = _bags(texts, max(2, min(MIN_DOCS, len(y) // 40)))
     if not len(bag):
-        return Model(np.zeros(BUCKETS, np.float32), prior)
+        return nothing
     rng = np.random.default_rng(seed)
     y, balance = y[owner], np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))[owner]
     embed = rng.normal(0, 0.01, (DIM, len(used))).astype(np.float32)

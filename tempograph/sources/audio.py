@@ -52,7 +52,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """Rate, channels and length of each file; a broken file is a row with `error`."""
+    """Rate, channels and length of each file; a broken file is a row with `error` (Spark does not hand out files of no bytes)."""
 
     def run(batches):
         for pdf in batches:

@@ -6,12 +6,11 @@ magnitude); words longer than mean + 0.8 deviations are the peaks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograph.operators import fingerprint as fp
-from tempograph.session import table
+from tempograph.session import kept, spread, table
 
 THRESHOLD = 0.35
 
@@ -27,7 +26,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of (doc_id, text)."""
     digest = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int"), F.lit(fp.BINS))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    frames = docs.select("doc_id", words.alias("w")).select("doc_id", F.transform("w", lambda w, i: F.struct(i.alias("t"), digest(w).alias("f"), F.length(w).cast("double").alias("mag"))).alias("frames"))
+    frames = spread(docs).select("doc_id", words.alias("w")).select("doc_id", F.transform("w", lambda w, i: F.struct(i.alias("t"), digest(w).alias("f"), F.length(w).cast("double").alias("mag"))).alias("frames"))
     peaks = frames.select("doc_id", fp.loud_frames(F.col("frames")).alias("peaks"))
     return peaks.select("doc_id", fp.fingerprint(F.col("peaks")).alias("fp"))
 
@@ -37,8 +36,7 @@ def _representatives(spark: SparkSession, sf_dir: str, sides: int = 1) -> tuple[
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod("doc_id", F.lit(sides)).alias("side"))
     reps = docs.withColumn("sha", F.sha2("text", 256)).groupBy("side", "sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     found = prints(docs.join(reps.select("doc_id"), "doc_id", "left_semi"))
-    # read several times by every query: kept in memory or on disk, recomputed where an executor is lost
-    return reps, fp.rows(found, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return reps, kept(fp.rows(found, "doc_id"))
 
 
 def sha_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +50,7 @@ def fp_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions' scores of each pair of different contents that may reach the threshold and shares a hash."""
     _, rows = _representatives(spark, sf_dir)
-    found = fp.near_duplicates(rows, THRESHOLD).select("a", "b")
+    found = kept(fp.near_duplicates(rows, THRESHOLD).select("a", "b"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return fp.align(rows, both).select("a", "b", F.round("score", 4).alias("score"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,13 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-METER = "user_id long, frames long, peak double, sum_sq double, pole double"
-
+from tempograph.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the session's spark.checkpoint.dir; where none is set, as in tests, on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+METER = "user_id long, frames long, peak double, sum_sq double, pole double"
 
 
 def files(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 1) -> DataFrame:
@@ -29,7 +23,7 @@ def files(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 1) ->
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and gives what it wrote, with the batch it was written in."""
     spark = stream.sparkSession
-    out = shared_dir(spark)
+    out = shared_dir(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is done again after a failure replaces what it wrote before

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm import store
+from tempograph.llm import nearcopies, store
 from tempograph.llm.components import components
 from tempograph.llm.words import LOWER, SPACED, U64, Words, split_words
 from tempograph.llm.xxh64 import xxh64
@@ -241,12 +241,5 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """Docs without near-duplicates: of each component the rows of its smallest doc_id stay.
-
-    Of repeated rows with that id one stays (the smallest text). Rows with a
-    null id stay only where the whole component has none.
-    """
-    found = near_duplicates(docs).select("doc_id", "component_id")
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Docs without near copies (five-word shingles, Jaccard index of at least 0.8); see nearcopies.one_of_each."""
+    return nearcopies.one_of_each(docs)

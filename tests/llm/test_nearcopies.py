@@ -69,3 +69,9 @@ def test_one_large_group_of_near_copies(spark):
             w[rng.randrange(len(w))] = f"z{rng.random()}"
         rows.append((i, " ".join(w)))
     assert kept(spark, rows) == plain_kept(rows)
+
+
+def test_null_and_repeated_ids_do_not_join_components(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(None, say("a")), (None, say("b")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (3, say("e")), (None, say("d"))]
+    assert kept(spark, rows) == sorted([(None, say("a")), (None, say("b")), (None, say("c")), (7, say("d")), (3, say("e"))], key=str)

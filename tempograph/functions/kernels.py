@@ -43,6 +43,97 @@ def spectral_peaks(x: np.ndarray, win: int = 1024, hop: int = 512, sigmas: float
     return np.flatnonzero(loud), best[loud]
 
 
+#: Places of common hashes that are looked at in one go.
+PLACES = 1 << 21
+
+
+def _prominence(anchor: np.ndarray, lo: np.ndarray, count: np.ndarray, places: np.ndarray, anchors: int) -> float:
+    """Score of rows (anchor, lo, count), in order of anchor, whose places in the other print are places[lo : lo + count]."""
+    low = int(places.min()) - int(anchor[-1]) - 1
+    span = int(places.max()) - int(anchor[0]) + 2 - low
+    single, beside, gap = (np.zeros(span, np.int64) for _ in range(3))
+    total, at = np.cumsum(count), 0
+    while at < len(anchor):
+        # whole anchors, at least one
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + PLACES, "right"))
+        end = int(np.searchsorted(anchor, anchor[max(end - 1, at)], "right")) if end < len(anchor) else end
+        n = count[at:end]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[at:end], n)
+        offset = places[place] - np.repeat(anchor[at:end], n) - low
+        # an anchor's offsets, each once, lie together in order
+        key = np.unique(np.repeat(anchor[at:end] - anchor[at], n) * span + offset)
+        offset, step = key % span, np.diff(key)
+        single += np.bincount(offset, minlength=span)
+        beside += np.bincount(offset[:-1][step == 1], minlength=span)
+        gap += np.bincount(offset[:-1][step == 2], minlength=span)
+        at = end
+    occur = np.flatnonzero(single)
+    # anchors with offset o - 1, o or o + 1, each counted once
+    merged = single[occur - 1] + single[occur] + single[occur + 1] - beside[occur - 1] - beside[occur] - gap[occur - 1]
+    best = int(merged.max())
+    rest = (int(merged.sum()) - best) / (len(merged) - 1) if len(merged) > 1 else 0.0
+    return max(0.0, min(1.0, (best - rest) / anchors))
+
+
+def offset_scores(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> tuple[float, float]:
+    """Scores of print A in B and of B in A; prints are sorted distinct hash << 32 | time.
+
+    Both are 0 if on both sides fewer than `least` of the anchors have a
+    common hash. Memory follows the prints and PLACES, not the product of
+    their places.
+    """
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    (ha, ta), (hb, tb) = ((x >> 32, x & 0xFFFFFFFF) for x in (a, b))
+    sides = []
+    for h, t, other, places in ((ha, ta, hb, tb), (hb, tb, ha, ta)):
+        lo = np.searchsorted(other, h, "left")
+        count = np.searchsorted(other, h, "right") - lo
+        common = np.flatnonzero(count)
+        common = common[np.argsort(t[common], kind="stable")]
+        sides.append((t[common], lo[common], count[common], places, len(np.unique(t))))
+    if not len(sides[0][0]) or all(len(np.unique(s[0])) < least * s[4] for s in sides):
+        return 0.0, 0.0
+    return _prominence(*sides[0]), _prominence(*sides[1])
+
+
+def stretched_sequence(seq: np.ndarray, factor: float) -> np.ndarray:
+    """A sequence of frames (n, width) of `factor` times the length by linear interpolation, frames scaled to length 1."""
+    at = np.linspace(0.0, len(seq) - 1.0, max(1, round(len(seq) * factor)))
+    low = np.floor(at).astype(int)
+    part = (at - low)[:, None]
+    out = seq[low] * (1 - part) + seq[np.minimum(low + 1, len(seq) - 1)] * part
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-12)
+
+
+def sequence_distances(stack: np.ndarray, span: float, seq: np.ndarray, seq_span: float, least_frames: int = 8) -> np.ndarray:
+    """Distance of each sequence of a stack (count, n, width) to one sequence (m, width): 0 alike, 1 unrelated.
+
+    `span` is the beats that a frame covers; where the two differ by more than
+    0.5 % `seq` is stretched to the stack's. The shorter side slides over the
+    longer, frames are turned through all rotations, and the best mean dot
+    product counts. Fewer than least_frames frames on a side give 1.
+    """
+    count, n, width = stack.shape
+    if min(n, len(seq)) < least_frames:
+        return np.ones(count)
+    if span > 0 and seq_span > 0 and abs(span / seq_span - 1) > 0.005:
+        seq = stretched_sequence(seq, seq_span / span)
+        if len(seq) < least_frames:
+            return np.ones(count)
+    short, best = min(n, len(seq)), np.zeros(count)
+    for turn in range(width):
+        turned = np.roll(seq, turn, axis=1)
+        if n <= len(seq):
+            places = np.lib.stride_tricks.sliding_window_view(turned, n, axis=0)
+            dots = np.tensordot(places, stack, axes=((2, 1), (1, 2)))
+            best = np.maximum(best, dots.max(0))
+        else:
+            places = np.lib.stride_tricks.sliding_window_view(stack, len(seq), axis=1)
+            best = np.maximum(best, np.tensordot(places, turned, axes=((3, 2), (0, 1))).max(1))
+    return np.clip(1 - best / short, 0.0, 1.0)
+
+
 def onset_envelope(x: np.ndarray, win: int = 1024, hop: int = 512) -> np.ndarray:
     n = (len(x) - win) // hop
     if n <= 2:

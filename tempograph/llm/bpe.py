@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ NONE = np.iinfo(np.int32).max
 TEXT_CHUNK = 1 << 20
 #: Merged pre-tokens that a Python worker remembers before it starts anew; this bounds memory, not results.
 REMEMBERED = 300_000
-#: Longer pre-tokens are merged alone, every non-overlapping occurrence of the lowest pair in one round.
+#: Bytes of the longest pre-token that goes to a matrix, whose rounds cost the square of its width. A longer one is merged
+#: alone, its pairs in a heap by rank and place, which takes them in the same order.
 LONG_PIECE = 256
 CELLS = 1 << 18
 
@@ -80,12 +82,8 @@ class Vocabulary:
         triples = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(triples, np.int64).T if triples else np.zeros((3, 0), np.int64)
         self.pairs = PairTable(left, right, merged.astype(np.int32))
-        single = np.array([len(t) == 1 for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
+        self.triples = left, right, merged
         ids = np.array(sorted(ranks.values()))
-        alone = np.zeros(int(ids.max()) + 1, bool)
-        alone[ids] = single
-        #: a merged id is above its parts, so equal pairs may be merged at once
-        self.ordered = bool((((merged > left) | alone[left]) & ((merged > right) | alone[right])).all())
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.length = np.zeros(int(ids.max()) + 1, np.int64)
         parts = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
@@ -94,6 +92,11 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """The pairs as a plain table, for rows that are merged alone."""
+        return {a << 32 | b: c for a, b, c in zip(*(x.tolist() for x in self.triples))}
+
     def merge_matrix(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row numbers, their final ids) of a matrix padded with -1; no row is empty.
 
@@ -123,21 +126,34 @@ class Vocabulary:
         yield row, ids
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank = self.pairs.get(ids[:-1], ids[1:])
-            low = rank.min()
-            if low == NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            if self.ordered:
-                first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-                inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-                at = at[inside % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = low
-            ids = np.delete(ids, at + 1)
-        return ids
+        """Final ids of one row: always the leftmost pair of lowest rank, in time n log n."""
+        n, find = len(ids), self.merges.get
+        token = [*ids.tolist(), -1]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        # the place in the low bits, so that of equal ranks the leftmost comes first
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        at = np.flatnonzero(rank != NONE)
+        heap = (rank[at].astype(np.int64) << bits | at).tolist()
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i, new = top & low, top >> bits
+            j = after[i]
+            # entries of pairs that are no more are passed over
+            if token[i] < 0 or j >= n or find(token[i] << 32 | token[j]) != new:
+                continue
+            token[i], token[j] = new, -1
+            k = after[i] = after[j]
+            before[k] = i
+            if k < n and (r := find(new << 32 | token[k])) is not None:
+                heapq.heappush(heap, r << bits | i)
+            h = before[i]
+            if h >= 0 and (r := find(token[h] << 32 | new)) is not None:
+                heapq.heappush(heap, r << bits | h)
+        out = np.array(token[:n], np.int32)
+        return out[out >= 0]
 
     def merge(self, texts: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each pre-token."""

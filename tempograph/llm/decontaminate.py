@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,45 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempograph.llm import store
 from tempograph.llm.fmindex import FMIndex
-from tempograph.llm.words import ALNUM, WORD, WORD2, Words, member, runs, split_words
+from tempograph.llm.words import ALNUM, Words, member, runs, split_words
 
 WINDOW = 13
-#: Characters of benchmark text that are held at a time; a larger benchmark is searched in blocks.
-BLOCK_CHARS = 8 << 20
+#: Characters of benchmark text that are held at a time; a larger benchmark is searched block by block.
+BLOCK_CHARS = 4 << 20
 #: Bytes of document text in one training shard, that is one FM-index.
 SHARD = 1_000_000
 
 
 class Phrases:
-    """The distinct windows of a block of items, over a vocabulary 1..top of the block's words."""
+    """The distinct windows of a block of items, over a vocabulary 1..top of the block's words.
+
+    `matrix` has a row for each window, padded at the left with 0; phrase p
+    belongs to the items names[owners[first[p]:first[p + 1]]].
+    """
 
     def __init__(self, ids: list, texts: list):
-        self.words = np.zeros(0, np.uint64)
-        windows, owners, keys = [], [], []
-        for w in split_words(pa.array(texts, pa.string()), ALNUM, lower=True):
-            h = w.hashes() ^ w.hashes(WORD2)
-            self.words = np.union1d(self.words, h)
-            n, first = w.counts, w.first
-            for row in np.flatnonzero(n):
-                size = min(WINDOW, int(n[row]))
-                for i in range(first[row], first[row] + n[row] - size + 1):
-                    windows.append(h[i : i + size])
-                    owners.append(str(ids[w.lo + row]))
-        index: dict[bytes, int] = {}
-        self.owners: list[set[str]] = []
-        kept = []
-        for window, owner in zip(windows, owners):
-            at = index.setdefault(window.tobytes(), len(index))
-            if at == len(self.owners):
-                self.owners.append(set())
-                kept.append(window)
-            self.owners[at].add(owner)
-        self.lengths = np.array([len(k) for k in kept], np.int64)
-        self.matrix = np.zeros((len(kept), WINDOW), np.int64)
-        for row, window in enumerate(kept):
-            self.matrix[row, WINDOW - len(window) :] = member(self.words, window) + 1
-        self.shortest = int(self.lengths.min()) if kept else 0
+        parts = list(split_words(pa.array(texts, pa.string()), ALNUM, lower=True))
+        hashes = [w.hashes() for w in parts]
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        rows, sizes, owner = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, h in zip(parts, hashes):
+            symbols = (member(self.words, h) + 1).astype(np.int32)
+            size = np.minimum(w.counts, WINDOW)
+            n = np.where(w.counts > 0, w.counts - size + 1, 0)
+            at, size = runs(w.first[:-1], n), np.repeat(size, n)
+            column = at[:, None] + np.arange(WINDOW) - (WINDOW - size)[:, None]
+            rows.append(np.where(column >= at[:, None], symbols[np.maximum(column, 0)] if len(symbols) else 0, 0).astype(np.int32))
+            sizes.append(size)
+            owner.append(w.lo + np.repeat(np.arange(len(n)), n))
+        self.matrix, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.matrix > 0).sum(1)
+        self.shortest = int(self.lengths.min()) if len(self.matrix) else 0
+        self.names, item = np.unique(np.array([str(i) for i in ids], dtype=object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, np.int64))
+        pairs = np.unique(np.stack([phrase.ravel(), item[np.concatenate(owner)]]), axis=1) if len(phrase) else np.zeros((2, 0), np.int64)
+        self.owners, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.matrix) + 1))
+
+    def items(self, phrases) -> set[str]:
+        return {self.names[o] for p in phrases for o in self.owners[self.first[p] : self.first[p + 1]]}
 
 
 def _reduced(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,7 @@ def _reduced(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     separators, as do the ends of documents. Runs of benchmark words that are
     shorter than the shortest phrase hold no occurrence and are left out.
     """
-    known = member(phrases.words, words.hashes() ^ words.hashes(WORD2)) + 1
+    known = member(phrases.words, words.hashes()) + 1
     inside = known > 0
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -118,33 +121,54 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+KIND = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
 def _search(docs: DataFrame, items: tuple[list, list]) -> DataFrame:
-    """Adds what one block of items has in each document to the columns __n, __spans and __items."""
-    schema = docs.schema
-    names = schema.names
+    """Adds __n (words), __spans and __items, what one block of items has in each document.
+
+    The block's windows are worked out once and broadcast; BLOCK_CHARS bounds
+    their size.
+    """
+    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases(*items))
 
     def run(batches):
-        phrases = Phrases(*items)
+        phrases = shared.value
         for batch in batches:
-            old_spans, old_items = batch.column("__spans"), batch.column("__items")
             n, spans, found = np.zeros(batch.num_rows, np.int64), [], []
             for words in split_words(batch.column("__text"), ALNUM, lower=True, limit=SHARD):
                 hit, rows = find(words, phrases) if len(phrases.lengths) and len(words) else (np.zeros(len(words), bool), [set()] * (words.hi - words.lo))
                 n[words.lo : words.hi] = words.counts
                 for r, ps in enumerate(rows):
-                    here = hit[words.first[r] : words.first[r + 1]] if ps else None
-                    before = old_spans[words.lo + r].as_py()
-                    if before:
-                        here = np.zeros(words.counts[r], bool) if here is None else here
-                        for s in before:
-                            here[s["begin"] : s["end"]] = True
-                    spans.append([] if here is None else _spans(here))
-                    found.append(sorted(set(old_items[words.lo + r].as_py() or ()).union(*(phrases.owners[p] for p in ps))))
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            new = {"__n": pa.array(n), "__spans": pa.array(spans, kind), "__items": pa.array(found, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+                    spans.append(_spans(hit[words.first[r] : words.first[r + 1]]) if ps else [])
+                    found.append(sorted(phrases.items(ps)))
+            new = [pa.array(n), pa.array(spans, KIND), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "__n", "__spans", "__items"])
 
-    return docs.mapInArrow(run, schema)
+    schema = docs.select("*", F.lit(0).cast("long").alias("__n"), F.array().cast(SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items")).schema
+    return docs.select("*", F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """__key, __spans and __items of rows (__key, lists of spans, lists of items): overlapping spans are merged."""
+
+    def run(batches):
+        for batch in batches:
+            spans, items = [], []
+            for some, names in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+                merged: list[dict] = []
+                for s in sorted((s for part in some for s in part), key=lambda s: s["begin"]):
+                    if merged and s["begin"] <= merged[-1]["end"]:
+                        merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                    else:
+                        merged.append(s)
+                spans.append(merged)
+                items.append(sorted({i for part in names for i in part}))
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(spans, KIND), pa.array(items, pa.list_(pa.string()))], names=["__key", "__spans", "__items"])
+
+    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__spans", SPANS), T.StructField("__items", T.ArrayType(T.StringType()))])
+    return found.groupBy("__key").agg(F.collect_list("__spans").alias("spans"), F.collect_list("__items").alias("items")).mapInArrow(run, schema)
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -154,16 +178,26 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item words is in a span; an item of fewer words, but some, is one window.
     Null texts have no words; items with null or no words have no windows; an
     empty benchmark finds nothing. Repeated rows and items change nothing.
-    Only one block of the benchmark is held at a time, so its size is bounded;
-    documents are never shuffled.
+
+    A benchmark of one block is one map over the documents. Of a larger one
+    each block's finds are written as a table before the next block is
+    fetched, so the driver and a task hold one block, however many there are;
+    the finds are then joined to the documents by a digest of the text.
     """
-    found = docs.select("*", F.col("text").alias("__text"), F.lit(0).cast("long").alias("__n"), F.array().cast(SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    none = True
-    for items in _blocks(benchmark):
-        found, none = _search(found, items), False
-    if none:
-        found = _search(found, ([], []))
-    return found.drop("__text")
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        return _search(docs, first)
+    key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("__key")
+    paths, found = [], None
+    for items in itertools.chain([first, second], blocks):
+        part = _search(docs.select("text"), items).where("size(__items) > 0").select(key, "__spans", "__items").dropDuplicates(["__key"])
+        found = store.table(part, "finds")
+        paths.append(found.shared_path)
+    every = docs.sparkSession.read.schema(found.schema).parquet(*paths)
+    counted = _search(docs, ([], [])).drop("__spans", "__items").withColumn("__digest", key)
+    joined = counted.join(_united(every), F.col("__digest") == F.col("__key"), "left").drop("__digest", "__key")
+    return joined.withColumns({"__spans": F.coalesce("__spans", F.array().cast(SPANS)), "__items": F.coalesce("__items", F.array().cast("array<string>"))})
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

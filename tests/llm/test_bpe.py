@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,20 @@ def test_same_ids_as_the_library(spark, library):
     assert found == {i: library.encode_ordinary(t or "") for i, t, _ in rows}
 
 
+def test_very_long_pre_tokens(library):
+    voc = vocabulary(*public_ranks())
+    rng = random.Random(5)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    for text in (letters, "東京都" * 20_000, "ab" * 50_000 + "b" * 50_001, "".join(rng.choice("ñéßü") for _ in range(30_000)), "=" * 100_000):
+        ids = voc.merge_long(voc.byte_id[np.frombuffer(text.encode(), np.uint8)])
+        assert ids.tolist() == library.encode_ordinary(text)
+    short = [letters[i : i + n] for n in range(2, 256, 7) for i in range(0, 3000, 300)]
+    assert all(voc.merge([t])[t] == voc.merge_long(voc.byte_id[np.frombuffer(t.encode(), np.uint8)]).astype("<u4").tobytes() for t in short if t.encode() not in voc.ranks)
+    began = time.time()
+    voc.merge_long(voc.byte_id[np.frombuffer((letters * 5).encode(), np.uint8)])
+    assert time.time() - began < 30
+
+
 def test_every_code_point_is_split_as_the_library_does(library):
     voc = vocabulary(*public_ranks())
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]

@@ -90,3 +90,12 @@ def test_a_long_text_is_searched_whole():
     (words_,) = decontaminate.split_words(pa.array([text]), decontaminate.ALNUM, lower=True)
     hit, found = decontaminate.find(words_, phrases)
     assert np.flatnonzero(hit).tolist() == list(range(400_000, 400_013)) and found == [{0}]
+
+
+def test_regular_words_are_not_confused():
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    text, other = bits, bits.translate(str.maketrans("ab", "ba"))
+    phrases = decontaminate.Phrases([1, 2], [text, "solo " * 14])
+    (words_,) = decontaminate.split_words(pa.array([f"x {other} y"]), decontaminate.ALNUM, lower=True)
+    hit, found = decontaminate.find(words_, phrases)
+    assert not hit.any() and found == [set()] and sorted(phrases.items(range(len(phrases.matrix)))) == ["1", "2"]

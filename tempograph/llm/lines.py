@@ -1,11 +1,13 @@
 """Line dedup by a fixed-depth tree of line templates.
 
-A line's path in the tree is its token count and its LEAD leading tokens. Its
-leaf holds templates: tokens with a digit are variable and become wildcards,
-and, so that other variable fields generalise too, each third of the tokens
-behind the leading ones is made a wildcard in turn. A line thus has one plain
-template and, from LONG tokens on, three general ones. That is a fixed number
-of keys for each line, so no leaf has to be gathered or compared in pairs.
+A line's path in the tree is its token count and its LEAD leading tokens; a
+leaf holds templates. Tokens with a digit are variable and become wildcards,
+if that leaves MIN_FIXED others; else, and where no token has one, the line's
+template is the line. So that other variable fields generalise too, each third
+of the tokens behind the leading ones of a line of LONG tokens is made a
+wildcard in turn. A line thus has one plain template and up to three general
+ones. That is a fixed number of keys for each line, each a hash of its path
+and template, so no leaf has to be gathered or compared in pairs.
 """
 
 from __future__ import annotations
@@ -20,17 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempograph.llm import store
-from tempograph.llm.words import GRAM, U64, WORD, Words, mix, split_words
+from tempograph.llm.words import U64, WORD, Words, mix, split_words
 
 LEAD = 2
-#: Shorter lines have no template and always stay.
-MIN_TOKENS = 4
-#: Tokens of a template that are not wildcards, at least.
+#: Tokens that are not wildcards of a template with some, at least.
 MIN_FIXED = 3
 #: Lines of so many tokens have general templates.
 LONG = 6
 THIRDS = 3
-WILD = U64(0x5851F42D4C957F2D)
+WILD, PLACE = U64(0x5851F42D4C957F2D), U64(0xD1342543DE82EF95)
 DIGIT = (np.arange(256) >= 0x30) & (np.arange(256) <= 0x39)
 
 
@@ -44,19 +44,26 @@ def templates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = breaks[words.starts] - breaks[words.offsets[row]]
     digits = np.concatenate([[0], np.cumsum(DIGIT[words.data])])
     variable = digits[words.ends] > digits[words.starts]
-    tokens = np.where(variable, WILD, words.hashes(WORD))
     fixed = np.concatenate([[0], np.cumsum(~variable)])
     first = np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(row) != 0)]))
-    last = np.append(first[1:], n)
-    out = [(first, GRAM.spans(tokens, first, last), (last - first >= MIN_TOKENS) & (fixed[last] - fixed[first] >= MIN_FIXED))]
-    s, e = first[last - first >= LONG], last[last - first >= LONG]
+    size = np.diff(np.append(first, n))
+    place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
+    # a template's hash is the sum of its tokens' values at their places
+    literal = words.hashes(WORD)
+    whole, general = (np.concatenate([[U64(0)], np.cumsum(mix(t + place * PLACE))]) for t in (literal, np.where(variable, WILD, literal)))
+    key = lambda total, size, kind: mix(total + mix(size.astype(np.uint64) * U64(4) + U64(kind)))
+    last = first + size
+    masked = fixed[last] - fixed[first] >= MIN_FIXED
+    out = [(first, key(np.where(masked, general[last] - general[first], whole[last] - whole[first]), size, 0))]
+    s, e = first[size >= LONG], last[size >= LONG]
     tail = e - s - LEAD
     for j in range(THIRDS):
         a, b = s + LEAD + tail * j // THIRDS, s + LEAD + tail * (j + 1) // THIRDS
-        h = mix(GRAM.spans(tokens, s, a) * U64(0x9E3779B97F4A7C15) + GRAM.spans(tokens, b, e)) ^ mix((e - s).astype(np.uint64) * U64(4) + U64(j + 1))
-        out.append((s, h, fixed[e] - fixed[b] + fixed[a] - fixed[s] >= MIN_FIXED))
-    at = np.concatenate([x[ok] for x, _, ok in out])
-    return row[at], line[at], np.concatenate([h[ok] for _, h, ok in out])
+        enough = fixed[e] - fixed[b] + fixed[a] - fixed[s] >= MIN_FIXED
+        h = key(general[e] - general[b] + general[a] - general[s], e - s, j + 1)
+        out.append((s[enough], h[enough]))
+    at = np.concatenate([x for x, _ in out])
+    return row[at], line[at], np.concatenate([h for _, h in out])
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -86,8 +93,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     A template recurs if lines of two documents (by doc_id) have it. The
     document with the smallest doc_id keeps its lines; a line goes if any of
     its templates occurs in a document with a smaller id. Lines are separated
-    by a line feed; lines of few tokens, and so blank ones, stay. What is left
-    keeps its order and bytes. A text whose lines all go becomes empty; a null
+    by a line feed; blank ones stay. What is left keeps its order and bytes. A text whose lines all go becomes empty; a null
     text stays null and has no lines. A null doc_id counts as one document
     before all others. Repeated rows with one id are one document. n_lines and
     n_dropped replace columns of these names; an empty table stays empty.
@@ -99,7 +105,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     recurring = each.groupBy("key").agg(F.min("__doc").alias("low"), F.max("__doc").alias("high")).where("low < high").select("key", "low")
     gone = each.join(recurring, "key").where("low < __doc").groupBy("__doc", "__th").agg(F.collect_set("key").alias("__gone"))
     gone = store.table(gone.withColumnsRenamed({"__doc": "__d", "__th": "__t"}), "recurring")
-    joined = kept.join(gone.hint("shuffle_hash"), (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left").select(*names, "__gone")
+    joined = kept.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left").select(*names, "__gone")
     where = names.index("text")
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -151,11 +157,10 @@ ORACLE_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
 m AS (SELECT doc_id, i, line, list_transform(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x <> ''),
              lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w FROM l),
-t AS (SELECT doc_id, i, len(w) AS n, w, 0 AS a, 0 AS b, 0 AS k FROM m WHERE len(w) >= 4
-      UNION ALL
-      SELECT doc_id, i, len(w), w, 2 + (len(w) - 2) * (j - 1) // 3, 2 + (len(w) - 2) * j // 3, j FROM m, (SELECT unnest([1, 2, 3]) AS j) WHERE len(w) >= 6),
+t AS (SELECT doc_id, i, len(w) AS n, w, 2 + (len(w) - 2) * (j - 1) // 3 AS a, 2 + (len(w) - 2) * j // 3 AS b, j AS k FROM m, (SELECT unnest([1, 2, 3]) AS j) WHERE len(w) >= 6),
 g AS (SELECT doc_id, i, n, k, list_concat(w[1:a], w[b + 1:]) AS fixed FROM t),
-s AS (SELECT doc_id, i, md5(n || '/' || k || '/' || list_aggregate(fixed, 'string_agg', ' ')) AS h FROM g WHERE len(list_filter(fixed, lambda x: x <> chr(1))) >= 3),
+p AS (SELECT doc_id, i, len(w) AS n, 0 AS k, CASE WHEN len(list_filter(w, lambda x: x <> chr(1))) >= 3 THEN w ELSE list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x <> '') END AS fixed FROM m WHERE len(w) > 0),
+s AS (SELECT doc_id, i, md5(n || '/' || k || '/' || list_aggregate(fixed, 'string_agg', ' ')) AS h FROM (SELECT * FROM p UNION ALL SELECT * FROM g WHERE len(list_filter(fixed, lambda x: x <> chr(1))) >= 3)),
 r AS (SELECT h, min(doc_id) AS low FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
 x AS (SELECT DISTINCT doc_id, i FROM s JOIN r USING (h) WHERE low < doc_id),
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(x.i) AS n_dropped, string_agg(CASE WHEN x.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept

@@ -5,12 +5,13 @@ from tempograph.llm.lines import drop_recurring
 
 
 def keys(line):
-    w = ["\1" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+    raw = re.findall(r"[^\x20\x09-\x0D]+", line)
+    w = ["\1" if re.search("[0-9]", x) else x for x in raw]
     n, out = len(w), set()
-    for k in range(4):
-        if n < (6 if k else 4):
-            continue
-        a, b = (2 + (n - 2) * (k - 1) // 3, 2 + (n - 2) * k // 3) if k else (0, 0)
+    if n:
+        out.add((n, 0, tuple(w if sum(x != "\1" for x in w) >= 3 else raw)))
+    for k in (1, 2, 3) if n >= 6 else ():
+        a, b = 2 + (n - 2) * (k - 1) // 3, 2 + (n - 2) * k // 3
         fixed = w[:a] + w[b:]
         if sum(x != "\1" for x in fixed) >= 3:
             out.add((n, k, tuple(fixed)))
@@ -53,5 +54,35 @@ def test_variable_fields_generalise(spark):
     assert found == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_short_lines_go_if_they_repeat_exactly(spark):
+    rows = [(1, "All rights reserved.\nPage 12\n\n7"), (2, "x\nAll rights reserved.\nPage 13\n\n7"), (3, "Page 12\nAll  rights reserved.\nAll rights"), (4, "東京都に住む")]
+    found = {r.doc_id: r.text for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: rows[0][1], 2: "x\nPage 13\n", 3: "All rights", 4: "東京都に住む"}
+
+
+def test_planted_templates_and_own_lines(spark):
+    """Of planted lines with variable fields all recurrences go; of lines of own words none does."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.randrange(10**6):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(n))
+    forms = [f"{say(3)} {{n}} {say(4)}", f"{say(4)} {{w}} {say(5)}", f"{say(2)} {{n}} , {{n}} {say(2)}", say(2)]
+    rows, planted = [], []
+    for i in range(150):
+        own = [say(rng.randrange(1, 14)) for _ in range(4)]
+        known = [rng.choice(forms).replace("{n}", str(rng.randrange(10**6))).replace("{w}", say(1))]
+        rows.append((i, "\n".join(own + known)))
+        planted.append(known[0])
+    found = drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = {r.doc_id: r.text.split("\n") for r in found}
+    assert all(t.split("\n")[:4] == kept[i][:4] for i, t in rows)
+    assert sum(len(k) == 5 for k in kept.values()) == len(forms)
+
+
+def test_a_very_long_line_and_a_very_long_text(spark):
+    line = "ab " * 300_000
+    rows = [(1, line), (2, "own\n" + line + "\nrest"), (3, "x\n" * 200_000 + line.replace("ab", "ba", 1))]
+    found = {r.doc_id: (r.text, r.n_dropped) for r in drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (line, 0), 2: ("own\nrest", 1), 3: (rows[2][1], 0)}
+
+
 def test_empty_table(spark):
     assert drop_recurring(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where none is set, as in tests, a folder of this machine."""
+    """The session's spark.checkpoint.dir; where none is set, as in tests, a folder of this machine, but on a cluster an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", known)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -20,10 +22,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so a lost executor costs no recomputation of its lineage."""
+def table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes df to a folder, the shared one by default, and reads it back, so a lost executor costs no recomputation of its lineage."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(folder or checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograph.llm import store
-from tempograph.llm.words import GRAM, WORD, Words, member, split_words
+from tempograph.llm.words import GRAM, WORD, WORD2, Words, member, split_words
 
 WINDOW = 35
 #: Words of a gram; the lowest gram hash in a window is the window's fingerprint.
@@ -69,26 +70,36 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 class WindowIndex:
-    """Immutable sorted runs (print, n) of how often each window fingerprint occurs.
+    """Immutable sorted runs (print, n) of how often each window fingerprint has occurred so far.
 
-    `add` writes a batch as a new run. Two runs of one level are merge-joined
-    into a run of the next level, so each fingerprint is rewritten about
-    log2(batches) times. The runs lie in the shared folder.
+    `add` merge-joins a batch with the runs of all batches before it, tells
+    which fingerprints now repeat, and writes the batch as a new run. Two runs
+    of one level are merged into one of the next level, so each fingerprint is
+    rewritten about log2(batches) times. Runs lie in `folder`, by default the
+    shared one; `save` notes them there and `open` goes on with them later.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.runs = spark, []
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder, self.runs = spark, folder, []
 
-    def add(self, prints: DataFrame) -> None:
-        """prints: a column `print`, one row for each place in the batch."""
+    def add(self, prints: DataFrame) -> DataFrame:
+        """prints: a column `print`, one row for each place in the batch. Returns the fingerprints of the batch (print)
+        that it or a batch before it has at another place."""
         run = prints.groupBy("print").agg(F.count("*").alias("n"))
-        self._push(0, store.table(run.sortWithinPartitions("print"), "run"))
+        run = store.table(run.sortWithinPartitions("print"), "run", self.folder)
+        found = run.where("n > 1").select("print")
+        for _, old in self.runs:
+            found = found.unionByName(run.hint("merge").join(old.select("print"), "print", "left_semi").select("print"))
+        found = store.table(found.distinct(), "found")
+        self._push(0, run)
+        return found
 
     def _push(self, level: int, run: DataFrame) -> None:
         if self.runs and self.runs[-1][0] == level:
             _, old = self.runs.pop()
             merged = old.hint("merge").join(run.withColumnRenamed("n", "m"), "print", "full_outer")
-            new = store.table(merged.select("print", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")).sortWithinPartitions("print"), "run")
+            new = merged.select("print", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")).sortWithinPartitions("print")
+            new = store.table(new, "run", self.folder)
             for gone in (old, run):
                 store.drop(gone)
             self._push(level + 1, new)
@@ -103,9 +114,26 @@ class WindowIndex:
             self._push(level, run)
         return self.runs[0][1]
 
-    def repeated(self, prints: DataFrame) -> DataFrame:
-        """The rows of `prints` (with a column `print`) whose fingerprint occurs at least twice in the index."""
-        return prints.hint("merge").join(self.compact().where("n > 1").select("print"), "print")
+    def save(self) -> None:
+        """Notes the runs in the folder; the last note counts."""
+        rows = [(level, run.shared_path) for level, run in self.runs]
+        notes = self.spark.createDataFrame(rows, "level int, path string").withColumn("at", F.lit(time.time_ns()))
+        notes.coalesce(1).write.mode("append").parquet(f"{self.folder.rstrip('/')}/notes")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> WindowIndex:
+        """The index as it was last saved."""
+        index, notes = cls(spark, folder), spark.read.parquet(f"{folder.rstrip('/')}/notes")
+        for row in sorted(notes.where(F.col("at") == notes.agg(F.max("at")).first()[0]).collect(), key=lambda r: -r.level):
+            run = spark.read.parquet(row.path)
+            run.shared_path = row.path
+            index.runs.append((row.level, run))
+        return index
+
+    def drop(self) -> None:
+        for _, run in self.runs:
+            store.drop(run)
+        self.runs = []
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -121,7 +149,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
             known = np.unique(hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             ids, th = batch.column("doc_id"), batch.column("th")
             for words in split_words(batch.column("text")):
-                h, at, low, *_ = window_prints(words)
+                _, at, low, *_ = window_prints(words)
+                # fingerprints come from one family of word hashes, what verifies them from another
+                h = words.hashes(WORD2)
                 ok = np.flatnonzero(member(known, low) >= 0)
                 at, low = at[ok], low[ok]
                 if not len(at):
@@ -147,18 +177,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     docs has doc_id, text and th, a hash of text; documents without such a
     window are absent. The fingerprint narrows the search; a window counts as
-    repeated when fingerprint and 64-bit hash of its 35 words both agree.
+    repeated when its fingerprint and a 64-bit hash of its 35 words, from word
+    hashes of another family, both agree.
     Groups of equal passages are counted before they are dealt out, so a
     passage that a third of all documents share is one row of an aggregate.
     """
     spark = docs.sparkSession
     anchors = store.table(_anchors(docs), "anchors")
-    index = WindowIndex(spark)
+    index, found = WindowIndex(spark), []
     for b in range(BATCHES):
-        index.add(anchors.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(BATCHES)) == b).select(F.explode("prints").alias("print")))
+        found.append(index.add(anchors.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(BATCHES)) == b).select(F.explode("prints").alias("print"))))
+    repeated = spark.read.schema("print long").parquet(*(f.shared_path for f in found)).distinct()
     prints = anchors.select("doc_id", "th", F.explode(F.array_distinct("prints")).alias("print"))
-    hits = store.table(index.repeated(prints).groupBy("doc_id", "th").agg(F.collect_list("print").alias("hits")), "hits")
-    for gone in (anchors, index.compact()):
+    hits = store.table(prints.hint("merge").join(repeated, "print").groupBy("doc_id", "th").agg(F.collect_list("print").alias("hits")), "hits")
+    index.drop()
+    for gone in (anchors, *found):
         store.drop(gone)
     with_hits = docs.join(hits.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     found = store.table(_candidates(with_hits), "candidates")

@@ -44,17 +44,29 @@ def test_chunks_and_batches_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, found), key=str) == plain(rows)
 
 
-def test_index_merges_runs_by_level(spark):
-    index, rng, total = WindowIndex(spark), random.Random(1), Counter()
-    for _ in range(5):
-        batch = [rng.randrange(20) for _ in range(12)]
+def test_index_finds_merges_and_goes_on(spark, tmp_path):
+    folder = f"{tmp_path}/index"
+    index, rng, total = WindowIndex(spark, folder), random.Random(1), Counter()
+    for k in range(5):
+        batch = [rng.randrange(40) for _ in range(12)]
+        before, now = dict(total), Counter(batch)
         total.update(batch)
-        index.add(spark.createDataFrame([(b,) for b in batch], "print long"))
+        found = index.add(spark.createDataFrame([(b,) for b in batch], "print long"))
+        assert {r.print for r in found.collect()} == {p for p in now if now[p] > 1 or p in before}
+        if k == 2:  # another session goes on from what was saved
+            index.save()
+            index = WindowIndex.open(spark, folder)
     assert [level for level, _ in index.runs] == [2, 0]
-    probe = spark.createDataFrame([(p, p) for p in range(20)], "print long, tag long")
-    assert {r.tag for r in index.repeated(probe).collect()} == {p for p, n in total.items() if n > 1}
     assert {r.print: r.n for r in index.compact().collect()} == dict(total)
 
 
+def test_very_long_texts(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[50_000:50_060]) + " y"), (3, "z " * 50_000)]
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = 120_000 - 100_003
+    assert found[2] == (62, 60) and found[3] == (50_000, 50_000) and found[1] == (120_000, 2 * again + 60)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -37,7 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder in the session's spark.checkpoint.dir; where none is set, as in tests, on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"{kind}-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix=f"{kind}-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -7,7 +7,6 @@ it) and are called from grouped-map and stateful operators.
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
 import numpy as np
 
@@ -27,20 +26,49 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / (n - 1))
 
 
-def spectral_peaks(x: np.ndarray, win: int = 1024, hop: int = 512, sigmas: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of the loudest bin of each frame, lowest of equals, where it is above mean + sigmas deviations.
+class LevelFrames:
+    """Loudest bin of each frame of a signal pushed block by block, and the mean and deviation of all levels.
 
-    (len - win) // hop frames are looked at; fewer than four give none.
+    (len - win) // hop frames count, one less than there are, so the last one
+    waits until another follows.
     """
-    n = (len(x) - win) // hop
-    if n < 4:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    level = 20 * np.log10(np.abs(np.fft.rfft(frames(x, win, hop, n) * hann(win), axis=1)) + 1e-9)
-    floor = level.mean() + sigmas * level.std()
-    lo, hi = BANDS[0][0], BANDS[-1][1]
-    best = level[:, lo:hi].argmax(1) + lo
-    loud = level[np.arange(n), best] > floor
-    return np.flatnonzero(loud), best[loud]
+
+    def __init__(self, win: int = 1024, hop: int = 512):
+        self.win, self.hop, self.held, self.waiting = win, hop, np.zeros(0), None
+        self.count, self.total, self.square, self.bins, self.tops = 0, 0.0, 0.0, [], []
+
+    def push(self, x: np.ndarray) -> None:
+        self.held = np.concatenate([self.held, x])
+        n = 0 if len(self.held) < self.win else 1 + (len(self.held) - self.win) // self.hop
+        for lo in range(0, n, 2048):
+            part = frames(self.held[lo * self.hop :], self.win, self.hop, min(2048, n - lo))
+            level = 20 * np.log10(np.abs(np.fft.rfft(part * hann(self.win), axis=1)) + 1e-9)
+            level = level if self.waiting is None else np.vstack([self.waiting, level])
+            self.waiting, level = level[-1:], level[:-1]
+            self.count, self.total, self.square = self.count + level.size, self.total + level.sum(), self.square + (level * level).sum()
+            low, high = BANDS[0][0], BANDS[-1][1]
+            best = level[:, low:high].argmax(1) + low
+            self.bins.append(best)
+            self.tops.append(level[np.arange(len(level)), best])
+        self.held = self.held[n * self.hop :]
+
+    def peaks(self, sigmas: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+        """(frame, bin) of the loudest bin of each frame, lowest of equals, where it is above mean + sigmas deviations.
+
+        Fewer than four frames give none.
+        """
+        bins, tops = (np.concatenate([np.zeros(0), *v]) for v in (self.bins, self.tops))
+        if len(bins) < 4:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        mean = self.total / self.count
+        loud = tops > mean + sigmas * math.sqrt(max(0.0, self.square / self.count - mean * mean))
+        return np.flatnonzero(loud), bins[loud].astype(np.int64)
+
+
+def spectral_peaks(x: np.ndarray, win: int = 1024, hop: int = 512, sigmas: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    found = LevelFrames(win, hop)
+    found.push(x)
+    return found.peaks(sigmas)
 
 
 #: Places of common hashes that are looked at in one go.
@@ -144,17 +172,40 @@ def onset_envelope(x: np.ndarray, win: int = 1024, hop: int = 512) -> np.ndarray
     return rise / rise.std() if rise.std() > 0 else rise
 
 
+class ChromaSum:
+    """Power of the twelve pitch classes between 55 and 2200 Hz of a signal pushed block by block."""
+
+    def __init__(self, sr: float, win: int = 8192, hop: int = 4096):
+        self.win, self.hop, self.held, self.waiting, self.power, self.n = win, hop, np.zeros(0), None, np.zeros(win // 2 + 1), 0
+        freq = np.fft.rfftfreq(win, 1 / sr)
+        self.inside = (freq > 55) & (freq < 2200)
+        self.pc = np.round(12 * np.log2(freq[self.inside] / 440) + 69).astype(int) % 12
+
+    def push(self, x: np.ndarray) -> None:
+        self.held = np.concatenate([self.held, x])
+        n = 0 if len(self.held) < self.win else 1 + (len(self.held) - self.win) // self.hop
+        for i in range(n):
+            # the last frame counts only if it is the only one
+            if self.waiting is not None:
+                self.power += self.waiting
+                self.n += 1
+            self.waiting = np.abs(np.fft.rfft(self.held[i * self.hop : i * self.hop + self.win] * hann(self.win))) ** 2
+        self.held = self.held[n * self.hop :]
+
+    def value(self) -> np.ndarray:
+        """Shares of the pitch classes, summing to 1 (0 for silence)."""
+        power = self.power
+        if not self.n:
+            padded = np.pad(self.held, (0, max(0, self.win - len(self.held))))[: self.win]
+            power = self.waiting if self.waiting is not None else np.abs(np.fft.rfft(padded * hann(self.win))) ** 2
+        out = np.bincount(self.pc, power[self.inside], 12)
+        return out / out.sum() if out.sum() > 0 else out
+
+
 def chroma(x: np.ndarray, sr: float, win: int = 8192, hop: int = 4096) -> np.ndarray:
-    """Power of the twelve pitch classes between 55 and 2200 Hz, summing to 1."""
-    if len(x) < win:
-        x = np.pad(x, (0, win - len(x)))
-    n = max(1, (len(x) - win) // hop)
-    power = (np.abs(np.fft.rfft(frames(x, win, hop, n) * hann(win), axis=1)) ** 2).sum(0)
-    freq = np.fft.rfftfreq(win, 1 / sr)
-    inside = (freq > 55) & (freq < 2200)
-    pc = np.round(12 * np.log2(freq[inside] / 440) + 69).astype(int) % 12
-    out = np.bincount(pc, power[inside], 12)
-    return out / out.sum() if out.sum() > 0 else out
+    found = ChromaSum(sr, win, hop)
+    found.push(x)
+    return found.value()
 
 
 def biquad(kind: str, sr: float, freq: float, q: float = 0.7071, gain_db: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -178,17 +229,6 @@ def biquad(kind: str, sr: float, freq: float, q: float = 0.7071, gain_db: float
     return b / a[0], a / a[0]
 
 
-def filter_block(b, a, x: np.ndarray, state: tuple[float, float] = (0.0, 0.0)) -> tuple[np.ndarray, tuple[float, float]]:
-    """Second-order section over a block; the state goes on to the next block, so cuts between blocks change nothing."""
-    z1, z2 = state
-    out = np.empty(len(x))
-    for i, v in enumerate(x):
-        y = b[0] * v + z1
-        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-        out[i] = y
-    return out, (z1, z2)
-
-
 def k_weight(sr: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """The two sections of loudness weighting at a sample rate (a shelf and a high-pass of the loudness standard)."""
     def section(f, q, db, high):
@@ -206,18 +246,13 @@ def k_weight(sr: float) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def resample(x: np.ndarray, sr_in: int, sr_out: int, taps: int = 32) -> np.ndarray:
-    """Windowed-sinc resampling by a reduced ratio."""
+    """Windowed-sinc resampling of a whole signal by a reduced ratio."""
+    from tempograph.functions.stateful import Resampler
+
     if sr_in == sr_out or not len(x):
         return x
-    ratio = Fraction(sr_out, sr_in)
-    n = -(-len(x) * ratio.numerator // ratio.denominator)
-    at = np.arange(n) * (sr_in / sr_out)
-    cut = min(1.0, sr_out / sr_in)
-    near = np.floor(at).astype(int)[:, None] + np.arange(-taps + 1, taps + 1)
-    offset = at[:, None] - near
-    window = np.where(np.abs(offset) < taps, 0.5 + 0.5 * np.cos(np.pi * offset / taps), 0.0)
-    weight = cut * np.sinc(cut * offset) * window
-    return (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0.0) * weight).sum(1)
+    made = Resampler(sr_in, sr_out, taps)
+    return np.concatenate([made.push(x), made.flush()])
 
 
 def time_stretch(x: np.ndarray, rate: float, frame: int = 2048, search: int = 384) -> np.ndarray:
@@ -254,11 +289,6 @@ def pitch_shift(x: np.ndarray, semitones: float) -> np.ndarray:
     return np.interp(at, np.arange(len(longer)), longer, right=0.0) if len(longer) else longer
 
 
-def true_peak_db(x: np.ndarray, oversample: int = 4) -> float:
-    """Level of the highest value between samples."""
-    return 20 * math.log10((np.abs(resample(x, 1, oversample)).max() if len(x) else 0.0) + 1e-12)
-
-
 def hpss(x: np.ndarray, win: int = 2048, hop: int = 512, width: int = 17) -> tuple[np.ndarray, np.ndarray]:
     """Harmonic and percussive parts by soft masks from medians over time and over frequency."""
     if len(x) < win:

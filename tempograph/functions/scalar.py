@@ -8,7 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PITCH_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
-FLATS = {"DB": 1, "EB": 3, "GB": 6, "AB": 8, "BB": 10, "CB": 11, "FB": 4}
+#: Other spellings of notes.
+SPELLINGS = {"Db": "C#", "Eb": "D#", "Gb": "F#", "Ab": "G#", "Bb": "A#", "Cb": "B", "Fb": "E", "E#": "F", "B#": "C"}
+#: Keys whose notes are written with flats.
+FLAT_KEYS = [1, 3, 5, 8, 10]
+#: Short names of scales.
+SHORT_SCALES = {"": "minor", "maj": "major", "min": "minor", "m": "minor"}
+#: Scales that a key may name.
+SCALE_NAMES = ["major", "minor", "natural minor", "harmonic minor", "melodic minor", "dorian", "phrygian", "lydian", "mixolydian", "aeolian", "pentatonic", "minor pentatonic"]
 
 
 def bound(value: Column, use) -> Column:
@@ -42,6 +49,11 @@ def quantise(x: Column, bits: int = 12) -> Column:
     return F.rint(x * levels) / levels
 
 
+def hold(rows: Column, every: int) -> Column:
+    """An array in which each run of `every` values has the first of them."""
+    return F.transform(rows, lambda x, i: F.get(rows, (F.floor(i / every) * every).cast("int")))
+
+
 def equal_power(i: Column, n: int, fade_in: bool = True) -> Column:
     """Quarter-wave curve over 0..n-1; 1 throughout when n is at most 1."""
     if n <= 1:
@@ -80,16 +92,37 @@ def midi_to_name(midi: Column) -> Column:
 
 def pitch_class(note: Column) -> Column:
     """0..11 of a note name with sharps or flats, null if there is no such note."""
-    pairs = [x for i, n in enumerate(PITCH_NAMES) for x in (F.lit(n), F.lit(i))] + [x for n, i in FLATS.items() for x in (F.lit(n), F.lit(i))]
-    return F.try_element_at(F.create_map(*pairs), F.upper(F.trim(note)))
+    named = {n.upper(): i for i, n in enumerate(PITCH_NAMES)} | {n.upper(): PITCH_NAMES.index(s) for n, s in SPELLINGS.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.upper(F.trim(note)))
 
 
 def parse_key(text: Column) -> Column:
-    """struct(pc, mode) of text such as 'A Minor' or 'F# major'; minor by default, A minor without a note."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ")
-    pc = pitch_class(F.get(words, F.lit(0)))
-    mode = F.lower(F.coalesce(F.get(words, F.lit(1)), F.lit("minor")))
-    return F.struct(F.coalesce(pc, F.lit(9)).alias("pc"), F.when(F.isnull(pc), "minor").otherwise(mode).alias("mode"))
+    """struct(pc, mode) of text such as 'A Minor', 'Bb-dorian' or 'F# harmonic minor'.
+
+    Without text A minor; an unknown note is A; without a scale minor; an
+    unknown scale is minor if it says `min`, else major.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "-", " "), r"\s+", " "))
+    note, scale = F.split_part(plain, F.lit(" "), F.lit(1)), F.lower(F.trim(F.regexp_replace(plain, r"^\S*", "")))
+    scale = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHORT_SCALES.items() for x in pair]), scale), scale)
+    mode = F.when(scale.isin(*SCALE_NAMES), scale).when(scale.contains("min"), "minor").otherwise("major")
+    return F.struct(F.coalesce(pitch_class(note), F.lit(9)).alias("pc"), mode.alias("mode"))
+
+
+def note_name(pc: Column, key: Column) -> Column:
+    """A pitch class as written in a key: with flats in flat keys, else with sharps."""
+    flats = {PITCH_NAMES.index(s): n for n, s in SPELLINGS.items() if n[1:] == "b" and s.endswith("#")}
+    low = F.pmod(pc, F.lit(12)).cast("int")
+    flat = F.try_element_at(F.create_map(*[F.lit(x) for pair in flats.items() for x in pair]), low)
+    sharp = F.element_at(F.array(*map(F.lit, PITCH_NAMES)), low + 1)
+    return F.when(F.pmod(key, F.lit(12)).isin(*FLAT_KEYS), F.coalesce(flat, sharp)).otherwise(sharp)
+
+
+def quantise_to_scale(midi: Column, tones: Column) -> Column:
+    """The nearest note whose pitch class is in `tones`, the lower of two equally near; itself if there is none within six."""
+    near = F.filter(F.sequence(F.lit(-6), F.lit(6)), lambda d: F.array_contains(tones, F.pmod(midi + d, F.lit(12))))
+    best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(d).alias("far"), d.alias("d"))))
+    return midi + F.coalesce(best.d, F.lit(0))
 
 
 def circle(a: Column, b: Column) -> Column:
@@ -156,3 +189,13 @@ def is_out_of_memory(message: Column) -> Column:
 
 def with_suffix(path: Column, suffix: str) -> Column:
     return F.concat(F.regexp_replace(path, r"\.[^./]+$", ""), F.lit("." + suffix.lstrip(".")))
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO form of a time, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def day_stamp(ts: Column) -> Column:
+    """The form of a time that names files."""
+    return F.date_format(ts, "yyyyMMdd-HHmmss")

@@ -1,7 +1,13 @@
-"""Ordered signals: numbering, frames, and folds that carry state."""
+"""Ordered signals: numbering, frames, chunks, and treatments that carry state."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,42 +34,75 @@ def framed(signal: DataFrame, key: str, win: int, hop: int, drop_last: bool = Fa
     `drop_last` keeps (len - win) // hop frames, one less than there are.
     """
     size = signal.groupBy(key).agg(F.count("*").alias("__len"))
-    frames = F.floor((F.col("__len") - win) / hop) + (0 if drop_last else 1)
-    first = F.greatest(F.ceil((F.col("n") - win + 1) / hop), F.lit(0))
-    last = F.least(F.floor(F.col("n") / hop), frames - 1)
-    fits = (F.col("__len") >= win) & (first <= last)
-    return signal.join(size, key).where(fits).withColumn("frame", F.explode(F.sequence(first, last))).drop("__len")
-
+    return _spread(signal.join(size, key), F.col("n"), 1, win, hop, drop_last)
 
-def ordered_array(signal: DataFrame, key: str, value: Column, out: str = "xs") -> DataFrame:
-    """The signal of each key as one array in order of n; one key's signal must fit a task."""
-    pairs = F.array_sort(F.collect_list(F.struct("n", value.alias("v"))))
-    return signal.groupBy(key).agg(F.transform(pairs, lambda p: p.v).alias(out))
 
+def _spread(rows: DataFrame, at: Column, step: int, win: int, hop: int, drop_last: bool) -> DataFrame:
+    """Each row, a run of `step` samples from `at * step` on, once for each frame that holds it."""
+    win, hop = win // step, hop // step
+    frames = F.floor((F.floor(F.col("__len") / step) - win) / hop) + (0 if drop_last else 1)
+    first = F.greatest(F.ceil((at - win + 1) / hop), F.lit(0))
+    last = F.least(F.floor(at / hop), frames - 1)
+    fits = (F.col("__len") >= win * step) & (first <= last)
+    return rows.where(fits).withColumn("frame", F.explode(F.sequence(first, last))).drop("__len")
 
-def one_pole(xs: Column, a: float) -> Column:
-    """Last value of y[n] = a*x[n] + (1-a)*y[n-1], from 0."""
-    return F.aggregate(xs, F.lit(0.0), lambda y, x: y * (1 - a) + x * a)
 
+def frame_sums(signal: DataFrame, key: str, win: int, hop: int, drop_last: bool = False) -> DataFrame:
+    """(key, frame, count, total, square, top): samples, sum, sum of squares and maximum of every complete frame.
 
-def biquad_last(xs: Column, b: tuple[float, float, float], a: tuple[float, float]) -> Column:
-    """Last output and the two states of a second-order section (transposed form) over an array."""
-    zero = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("z1"), F.lit(0.0).alias("z2"))
+    Runs as long as the greatest common divisor of win and hop are summed
+    first, and only these are dealt to the frames that overlap them.
+    """
+    step = math.gcd(win, hop)
+    x = F.col("x")
+    runs = signal.groupBy(key, F.floor(F.col("n") / step).alias("__run")).agg(F.count("*").alias("c"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.max(x).alias("m"))
+    size = runs.groupBy(key).agg(F.sum("c").alias("__len"))
+    dealt = _spread(runs.join(size, key), F.col("__run"), step, win, hop, drop_last)
+    return dealt.groupBy(key, "frame").agg(F.sum("c").alias("count"), F.sum("s").alias("total"), F.sum("q").alias("square"), F.max("m").alias("top"))
 
-    def step(s, x):
-        y = b[0] * x + s.z1
-        return F.struct(y.alias("y"), (b[1] * x - a[0] * y + s.z2).alias("z1"), (b[2] * x - a[1] * y).alias("z2"))
 
-    return F.aggregate(xs, zero, step)
+def chunked(signal: DataFrame, key: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """(key, chunk, rows): the rows of each `size` numbers n, sorted by n, with so many of the numbers before and behind.
 
+    A signal is cut into chunks of bounded size, so a key with very many rows
+    is spread over its chunks.
+    """
+    names = [c for c in signal.columns if c != key]
+    n = F.col("n")
+    each = signal.withColumn("chunk", F.explode(F.sequence(F.greatest(F.floor((n - after) / size), F.lit(0)), F.floor((n + before) / size))))
+    return each.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("n", *[c for c in names if c != "n"]))).alias("rows"))
 
-def limiter_last(xs: Column, ceiling: float, release: float) -> Column:
-    """Last and lowest gain of a limiter with instant attack and smoothed release."""
-    one = F.struct(F.lit(1.0).alias("g"), F.lit(1.0).alias("low"))
 
-    def step(s, x):
-        target = F.least(F.lit(1.0), ceiling / F.greatest(F.abs(x), F.lit(1e-9)))
-        g = F.when(target < s.g, target).otherwise(s.g * release + target * (1 - release))
-        return F.struct(g.alias("g"), F.least(s.low, g).alias("low"))
+def streamed(signal: DataFrame, key: str, start: Callable, out: str = "y") -> DataFrame:
+    """(key, n, out): a signal (key, n, x) through a treatment with state, in order of n; what comes out is numbered from 0.
 
-    return F.aggregate(xs, one, step)
+    start() gives a treatment as in functions.stateful, with push and flush. A
+    task holds one batch of samples, whatever the length of a signal.
+    """
+    n = int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = signal.schema[key].dataType.simpleString()
+    rows = signal.select(key, F.col("n").cast("long").alias("n"), F.col("x").cast("double").alias("x")).repartition(n, key).sortWithinPartitions(key, "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, treat, count = None, None, 0
+
+        def batch_of(y: np.ndarray) -> pa.RecordBatch:
+            nonlocal count
+            count += len(y)
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(y), of), pa.array(np.arange(count - len(y), count)), pa.array(y, pa.float64())], names=[key, "n", out])
+
+        for batch in batches:
+            keys, x = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            of, lo = keys.type, 0
+            same = pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, max(len(keys) - 1, 0))), False).to_numpy(zero_copy_only=False)
+            for hi in np.append(np.flatnonzero(~same) + 1, len(x)) if len(x) else ():
+                if treat is None or keys[lo].as_py() != last:
+                    if treat is not None:
+                        yield batch_of(treat.flush())
+                    last, treat, count = keys[lo].as_py(), start(), 0
+                yield batch_of(treat.push(x[lo:hi]))
+                lo = hi
+        if treat is not None:
+            yield batch_of(treat.flush())
+
+    return rows.mapInArrow(run, f"{key} {kind}, n long, {out} double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempograph.operators.ordered import framed
+from tempograph.operators.ordered import chunked, frame_sums
 
 
 def meter(signal: DataFrame, key: str) -> DataFrame:
@@ -39,7 +39,7 @@ def gated_mean(signal: DataFrame, key: str, win: int, absolute: float = -70.0, r
     Blocks overlap by three quarters. Nothing above the gate gives -infinity;
     nothing above the relative gate falls back to the first gate.
     """
-    blocks = framed(signal, key, win, max(1, win // 4)).groupBy(key, "frame").agg(F.avg(F.col("x") * F.col("x")).alias("z"))
+    blocks = frame_sums(signal, key, win, max(1, win // 4)).select(key, "frame", (F.col("square") / F.col("count")).alias("z"))
     loud = lambda z: -0.691 + 10 * F.log10(F.greatest(z, F.lit(1e-20)))
     blocks = blocks.withColumn("l", loud(F.col("z")))
     first = blocks.groupBy(key).agg(F.avg(F.when(F.col("l") > absolute, F.col("z"))).alias("m"))
@@ -58,23 +58,51 @@ def onset_strength(frames: DataFrame, key: str) -> DataFrame:
     return rises.join(stats, key).select(key, "frame", z.alias("z"))
 
 
-def autocorrelation(series: DataFrame, key: str, lags: tuple[int, int]) -> DataFrame:
-    """ac(lag) / ac(0) of a series (key, frame, z) by an equi-join on the shifted frame number."""
-    shifted = series.select(key, F.col("frame"), F.col("z").alias("y"))
-    left = series.select(key, F.explode(F.sequence(F.lit(lags[0]), F.lit(lags[1]))).alias("lag"), F.col("frame"), "z").withColumn("frame", F.col("frame") + F.col("lag"))
-    power = series.groupBy(key).agg(F.sum(F.col("z") * F.col("z")).alias("p"))
-    ac = left.join(shifted, [key, "frame"]).groupBy(key, "lag").agg(F.sum(F.col("z") * F.col("y")).alias("s"))
-    return ac.join(power, key).where("p > 0").select(key, "lag", (F.col("s") / F.col("p")).alias("ac"))
+def autocorrelation(series: DataFrame, key: str, lags: tuple[int, int], chunk: int = 1024) -> DataFrame:
+    """ac(lag) / ac(0) of a series (key, frame, z) without gaps, for lags up to its length.
+
+    Chunks of the series with the frames behind them are one row each; their
+    lag products are summed, so no series is in one task and none is joined
+    with itself.
+    """
+    numbered = series.select(key, F.col("frame").alias("n"), "z")
+    parts = chunked(numbered, key, chunk, after=lags[1])
+    own = F.filter("rows", lambda r: F.floor(r.n / chunk) == F.col("chunk"))
+    parts = parts.select(key, F.transform(own, lambda r: r.z).alias("a"), F.transform("rows", lambda r: r.z).alias("b"))
+    # a chunk without frames of its own has no products
+    parts = parts.where("size(a) > 0")
+    product = lambda lag: F.aggregate(F.zip_with("a", F.slice("b", lag + 1, F.size("a")), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    sums = parts.select(key, F.size("a").alias("c"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(lags[1])), product)).alias("lag", "s"))
+    total = sums.groupBy(key, "lag").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    power = total.where("lag = 0 and s > 0").select(key, F.col("s").alias("p"))
+    return total.where(F.col("lag").between(*lags) & (F.col("lag") < F.col("c"))).join(power, key).select(key, "lag", (F.col("s") / F.col("p")).alias("ac"))
+
+
+#: Metrical relatives that a tempo is mistaken for.
+RELATIVES = [1 / 2, 2 / 3, 3 / 4, 3 / 2, 2.0, 3.0]
 
 
 def tempo(ac: DataFrame, key: str, frame_s: float, low: float, high: float, prior: float = 85.0, octaves: float = 0.75) -> DataFrame:
-    """Best period: mean over k = 1..4 of ac(k*lag)/k under a log-normal prior; the longer lag wins ties."""
+    """(key, lag, bpm, score): the best period and its metrical relatives tested again.
+
+    A period's score is the mean over k = 1..4 of ac(k*lag)/k under a
+    log-normal prior; the longer lag wins ties. A relative of the best tempo
+    takes its place if its score is higher. `score` within 0 and 1 is the
+    confidence. A key without a candidate gets 80 and 0.
+    """
     scored = ac.select(key, F.col("lag").alias("base"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).withColumn("lag", F.col("base") * F.col("k")).join(ac, [key, "lag"])
-    bpm = 60.0 / (F.col("base") * frame_s)
-    comb = scored.groupBy(key, "base").agg(F.avg(F.col("ac") / F.col("k")).alias("m")).where((bpm >= low) & (bpm <= high))
-    weight = F.exp(-0.5 * F.pow(F.log2(bpm / prior) / octaves, F.lit(2.0)))
-    score = F.round(F.col("m") * weight, 9)
-    return comb.groupBy(key).agg(F.max(F.struct(score.alias("score"), F.col("base").alias("lag"))).alias("best")).select(key, F.col("best.lag").alias("lag"), F.round(60.0 / (F.col("best.lag") * frame_s), 2).alias("bpm"), F.col("best.score").alias("score"))
+    comb = scored.groupBy(key, "base").agg(F.avg(F.col("ac") / F.col("k")).alias("m"))
+    weight = lambda bpm: F.exp(-0.5 * F.pow(F.log2(bpm / prior) / octaves, F.lit(2.0)))
+    own = 60.0 / (F.col("base") * frame_s)
+    first = comb.where((own >= low) & (own <= high)).groupBy(key).agg(F.max(F.struct(F.round(F.col("m") * weight(own), 9).alias("score"), F.col("base").alias("lag"))).alias("b"))
+    first = first.select(key, "b.score", "b.lag", (60.0 / (F.col("b.lag") * frame_s)).alias("bpm"))
+    others = first.select(key, F.posexplode(F.array(*(F.col("bpm") * m for m in RELATIVES))).alias("place", "bpm")).where((F.col("bpm") >= low) & (F.col("bpm") <= high))
+    others = others.withColumn("base", F.rint(60.0 / F.col("bpm") / frame_s).cast("int")).join(comb, [key, "base"])
+    others = others.select(key, F.round(F.col("m") * weight(F.col("bpm")), 9).alias("score"), F.col("base").alias("lag"), "bpm", (-F.col("place") - 1).alias("order"))
+    every = first.withColumn("order", F.lit(0)).unionByName(others)
+    best = every.groupBy(key).agg(F.max(F.struct("score", "order", "lag", "bpm")).alias("b"))
+    keys = ac.select(key).distinct().join(best, key, "left")
+    return keys.select(key, F.col("b.lag").alias("lag"), F.round(F.coalesce("b.bpm", F.lit(80.0)), 2).alias("bpm"), F.coalesce(F.greatest(F.least("b.score", F.lit(1.0)), F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 def beat_phase(series: DataFrame, key: str, bar: float, phases: int = 64) -> DataFrame:
@@ -110,17 +138,34 @@ def band_profile(values: DataFrame, key: str, value: str, power: Column, centres
     return every.join(inside, [key, "band"], "left").select(key, "band", F.when(F.col("p").isNull(), -200.0).otherwise(10 * F.log10(F.col("p") + 1e-20)).alias("db"))
 
 
-def moving_median(signal: DataFrame, key: str, value: str, half: int = 8) -> DataFrame:
-    """Median over 2*half+1 rows around each, edges repeating the outermost value."""
-    w = W.partitionBy(key).orderBy("n").rowsBetween(-half, half)
-    whole = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    size = F.count("*").over(W.partitionBy(key))
-    padded = F.concat(
-        F.array_repeat(F.first(value).over(whole), F.greatest(half - F.col("n"), F.lit(0)).cast("int")),
-        F.collect_list(value).over(w),
-        F.array_repeat(F.last(value).over(whole), F.greatest(F.col("n") + half - (size - 1), F.lit(0)).cast("int")),
-    )
-    return signal.withColumn("median", F.get(F.array_sort(padded), F.lit(half)))
+def tone_delta(profiles: DataFrame, key: str, order: str, strength: float = 0.7, most: float = 6.0, first: int = 4) -> DataFrame:
+    """(key, band, delta): dB by which each key's bands are moved towards the mean profile of the first few keys.
+
+    The difference is scaled, kept within +-most, and its mean over the bands
+    taken away, so that balance changes and level does not. `profiles` has
+    key, band, db and `order`, by which the first keys are chosen.
+    """
+    chosen = profiles.select(key, order).distinct().orderBy(order, key).limit(first).select(key)
+    target = profiles.join(F.broadcast(chosen), key, "left_semi").groupBy("band").agg(F.avg("db").alias("target"))
+    moved = profiles.join(F.broadcast(target), "band").withColumn("d", F.greatest(F.least((F.col("target") - F.col("db")) * strength, F.lit(most)), F.lit(-most)))
+    level = moved.groupBy(key).agg(F.avg("d").alias("mean"))
+    return moved.join(level, key).select(key, "band", (F.col("d") - F.col("mean")).alias("delta"))
+
+
+def moving_median(signal: DataFrame, key: str, value: str, half: int = 8, chunk: int = 1024) -> DataFrame:
+    """(key, n, value, median): median over 2*half+1 rows around each, edges repeating the outermost value.
+
+    Worked out in chunks with `half` rows of their neighbours.
+    """
+    parts = chunked(signal.select(key, "n", F.col(value).alias("v")), key, chunk, before=half, after=half)
+
+    def around(rows):
+        at = lambda i: F.get(rows, F.greatest(F.least(i, F.size(rows) - 1), F.lit(0))).v
+        median = lambda i: F.get(F.array_sort(F.transform(F.sequence(i - half, i + half), at)), F.lit(half))
+        whole = F.transform(rows, lambda r, i: F.struct(r.n.alias("n"), r.v.alias("v"), F.when(F.floor(r.n / chunk) == F.col("chunk"), median(i)).alias("m"), (F.floor(r.n / chunk) == F.col("chunk")).alias("own")))
+        return F.filter(whole, lambda r: r.own)
+
+    return parts.select(key, F.explode(around(F.col("rows"))).alias("r")).select(key, "r.n", F.col("r.v").alias(value), F.col("r.m").alias("median"))
 
 
 def overlap_add(chunks: DataFrame, key: str, start: str, values: str) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
 import wave
+from urllib.parse import quote
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempograph.functions.kernels import resample
+from tempograph.functions.stateful import Resampler
 
 #: Suffixes of sound files that a folder is searched for.
 SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".m4a", ".aac", ".aif", ".aiff")
@@ -48,51 +51,111 @@ def encode(x: np.ndarray, sr: int, widths: int = 2) -> bytes:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
+    # no column of the content, so no file is read here
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path).select(F.col("path").alias("track"))
+
+
+def _open(track: str):
+    """A file of any store that Arrow knows, for reading from any place in it."""
+    if track.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/+", "/", track))
+    system, path = fs.FileSystem.from_uri(quote(track, safe=":/@%"))
+    return system.open_input_file(path)
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """Rate, channels and length of each file; a broken file is a row with `error` (Spark does not hand out files of no bytes)."""
+    """Rate, channels and length of each file from its first bytes; a broken file is a row with `error`.
+
+    Spark does not hand out files of no bytes.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for track, content in zip(pdf["path"], pdf["content"]):
+            for track in pdf["track"]:
                 try:
-                    with wave.open(io.BytesIO(content)) as w:
+                    with _open(track) as f, wave.open(f) as w:
                         rows.append((track, w.getframerate(), w.getnchannels(), w.getnframes(), w.getnframes() / w.getframerate(), None))
-                except (wave.Error, EOFError, ZeroDivisionError) as e:
-                    rows.append((track, None, None, None, None, str(e)))
+                except (wave.Error, EOFError, ZeroDivisionError, OSError) as e:
+                    rows.append((track, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield type(pdf)(rows, columns=["track", "sr", "channels", "frames", "seconds", "error"]).astype(object)
 
-    return _files(spark, path).select("path", "content").mapInPandas(run, HEADERS)
+    return _files(spark, path).mapInPandas(run, HEADERS)
 
 
-def blocks(spark: SparkSession, path: str, block_frames: int = 1 << 18, max_seconds: float | None = None, target_sr: int | None = None) -> DataFrame:
-    """Blocks of every file in order of block_no; files are read by Spark, so any store that it knows will do.
+def windows(heads: DataFrame, max_seconds: float = 900.0, count: int = 4) -> DataFrame:
+    """(track, sr, window, start, frames): the whole of a file of up to max_seconds, else `count` windows spread over it.
 
-    max_seconds limits what is decoded; target_sr resamples whole files, so
-    block edges leave no trace. A broken file is one row with `error`.
+    Together the windows last max_seconds; each lies in the middle of its part
+    of the file.
     """
+    width = max_seconds / count
+    place = lambda k: F.greatest(F.least(F.col("seconds") * (k + 0.5) / count - width / 2, F.col("seconds") - width), F.lit(0.0))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.struct(k.alias("window"), F.floor(place(k) * F.col("sr")).alias("start"), F.floor(width * F.col("sr")).alias("frames")))
+    whole = F.array(F.struct(F.lit(0).alias("window"), F.lit(0).cast("long").alias("start"), F.col("frames").alias("frames")))
+    return heads.where("error is null").select("track", "sr", F.explode(F.when(F.col("seconds") <= max_seconds, whole).otherwise(parts)).alias("w")).select("track", "sr", "w.*")
+
+
+def _rows(track: str, x: np.ndarray, start: int, block: int, sr: int) -> tuple:
+    part = x.astype(np.float32)
+    return track, block, start, sr, part[:, 0].tolist(), part[:, 1].tolist(), None
+
+
+def read(ranges: DataFrame, block_frames: int = 1 << 18) -> DataFrame:
+    """Blocks of ranges (track, start, frames) of files, each read by a task of its own: only those bytes are fetched."""
+    cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("frames") - 1) / block_frames), F.lit(0)))
+    each = ranges.where("frames > 0").select("track", "start", "frames", F.explode(cut).alias("block"))
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for pdf in batches:
-            for track, content in zip(pdf["path"], pdf["content"]):
-                rows = []
+            for track, start, frames, block in pdf.itertuples(index=False):
                 try:
-                    with wave.open(io.BytesIO(content)) as w:
-                        sr, n = w.getframerate(), w.getnframes()
-                        x = decode(w.readframes(n if max_seconds is None else min(n, int(max_seconds * sr))), w.getsampwidth(), w.getnchannels())
-                    if target_sr and target_sr != sr:
-                        x, sr = np.stack([resample(x[:, c], sr, target_sr) for c in (0, 1)], 1), target_sr
-                    for i, k in enumerate(range(0, len(x), block_frames)):
-                        part = x[k : k + block_frames].astype(np.float32)
-                        rows.append((track, i, k, sr, part[:, 0].tolist(), part[:, 1].tolist(), None))
-                except (wave.Error, EOFError, ValueError) as e:
-                    rows = [(track, None, None, None, None, None, str(e))]
-                yield type(pdf)(rows, columns=BLOCKS.names).astype(object)
+                    with _open(track) as f, wave.open(f) as w:
+                        at = start + block * block_frames
+                        w.setpos(at)
+                        x = decode(w.readframes(min(block_frames, frames - block * block_frames)), w.getsampwidth(), w.getnchannels())
+                        row = _rows(track, x, at, block, w.getframerate())
+                except (wave.Error, EOFError, ValueError, OSError) as e:
+                    row = (track, None, None, None, None, None, f"{type(e).__name__}: {e}")
+                yield type(pdf)([row], columns=BLOCKS.names).astype(object)
+
+    return each.repartition(n, "track", "start", "block").mapInPandas(run, BLOCKS)
+
 
-    return _files(spark, path).select("path", "content").mapInPandas(run, BLOCKS)
+def blocks(spark: SparkSession, path: str, block_frames: int = 1 << 18, max_seconds: float | None = None, target_sr: int | None = None) -> DataFrame:
+    """Blocks of every file, numbered by block_no from the start, with both channels.
+
+    max_seconds limits what is read of a file. target_sr resamples: one task
+    then walks through a file block by block and carries what the filter needs
+    over their edges. A broken file is one row with `error`.
+    """
+    heads = headers(spark, path)
+    most = F.col("frames") if max_seconds is None else F.least("frames", F.floor(F.col("sr") * max_seconds))
+    broken = heads.where("error is not null").select("track", *(F.lit(None).cast(BLOCKS[c].dataType).alias(c) for c in ("block_no", "start", "sr", "l", "r")), "error")
+    ranges = heads.where("error is null").select("track", "sr", F.lit(0).cast("long").alias("start"), most.alias("frames"))
+    if not target_sr:
+        return read(ranges, block_frames).unionByName(broken)
+
+    def run(batches):
+        for pdf in batches:
+            for track, sr, _, frames in pdf.itertuples(index=False):
+                made, done, block = [Resampler(int(sr), target_sr) for _ in (0, 1)], 0, 0
+                try:
+                    with _open(track) as f, wave.open(f) as w:
+                        for at in range(0, int(frames) + 1, block_frames):
+                            x = decode(w.readframes(min(block_frames, int(frames) - at)), w.getsampwidth(), w.getnchannels())
+                            parts = [m.push(x[:, c]) if int(sr) != target_sr else x[:, c] for c, m in enumerate(made)]
+                            if at + block_frames > frames and int(sr) != target_sr:
+                                parts = [np.concatenate([p, m.flush()]) for p, m in zip(parts, made)]
+                            if len(parts[0]):
+                                yield type(pdf)([_rows(track, np.stack(parts, 1), done, block, target_sr)], columns=BLOCKS.names).astype(object)
+                                done, block = done + len(parts[0]), block + 1
+                except (wave.Error, EOFError, ValueError, OSError) as e:
+                    yield type(pdf)([(track, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=BLOCKS.names).astype(object)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, "track").mapInPandas(run, BLOCKS).unionByName(broken)
 
 
 def mono(table: DataFrame) -> DataFrame:
@@ -139,3 +202,54 @@ def collect_inputs(spark: SparkSession, listing: DataFrame, playlists: DataFrame
     named = named.select("ord", "sub", F.when(F.col("line").startswith("/"), F.col("line")).otherwise(F.concat("folder", F.lit("/"), "line")).alias("path"))
     first = listed.unionByName(named).groupBy("path").agg(F.min(F.struct("ord", "sub")).alias("o"))
     return first.select(F.col("o.ord").alias("ord"), F.col("o.sub").alias("sub"), "path")
+
+
+def inputs(spark: SparkSession, *paths: str) -> DataFrame:
+    """(ord, sub, path, error): what folders, playlists (.txt), files and patterns name, each path at its first place.
+
+    A folder gives its sound files in order of name; a playlist the lines that
+    are no comment; a file itself, whatever its suffix; anything else is a
+    pattern. What is not there is a row with `error`. Names are listed on the
+    driver, as Spark does; no file but a playlist is read.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    listing, lost = [], []
+    playlists: DataFrame | None = None
+    for i, path in enumerate(paths):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        store = target.getFileSystem(conf)
+        if not store.exists(target):
+            found = [s.getPath().toUri().getPath() for s in store.globStatus(target) or () if s.isFile()]
+            listing += [(i, k, p, "glob") for k, p in enumerate(sorted(found))]
+            lost += [(i, 0, path, "no such file")] if not found else []
+        elif store.getFileStatus(target).isDirectory():
+            found = sorted(s.getPath().toUri().getPath() for s in store.listStatus(target) if s.isFile())
+            listing += [(i, k, p, "dir") for k, p in enumerate(found)]
+        elif path.lower().endswith(".txt"):
+            lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("sub", "line"))
+            lines = lines.select(F.lit(i).alias("ord"), "sub", F.lit(os.path.dirname(os.path.abspath(path))).alias("folder"), "line")
+            playlists = lines if playlists is None else playlists.unionByName(lines)
+        else:
+            listing.append((i, 0, target.toUri().getPath(), "file"))
+    if playlists is None:
+        playlists = spark.createDataFrame([], "ord int, sub int, folder string, line string")
+    named = collect_inputs(spark, spark.createDataFrame(listing, "ord int, sub int, path string, kind string"), playlists)
+    # only names from a playlist may be missing
+    there = {}
+    for r in playlists.select("ord").distinct().collect() if lost or playlists.columns else ():
+        for row in named.where(F.col("ord") == r.ord).collect():
+            target = jvm.org.apache.hadoop.fs.Path(row.path)
+            there[row.path] = target.getFileSystem(conf).exists(target)
+    gone = [p for p, ok in there.items() if not ok]
+    error = F.when(F.col("path").isin(gone), "no such file") if gone else F.lit(None).cast("string")
+    return named.withColumn("error", error).unionByName(spark.createDataFrame(lost, "ord int, sub int, path string, error string"))
+
+
+def write_tracklist(chapters: DataFrame, order: str, line: str, folder: str) -> None:
+    """One text file of the lines in order. A track list is short: one task writes it."""
+    chapters.select(order, line).coalesce(1).sortWithinPartitions(order).select(F.col(line).alias("value")).write.mode("overwrite").text(folder)
+
+
+def write_report(report: DataFrame, folder: str) -> None:
+    """A report as JSON lines; Spark's commit makes all of it appear or none."""
+    report.write.mode("overwrite").json(folder)

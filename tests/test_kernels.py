@@ -7,7 +7,7 @@ import wave
 import numpy as np
 import pytest
 
-from tempograph.functions import kernels
+from tempograph.functions import kernels, stateful
 from tempograph.operators import tracks
 from tempograph.sources import audio
 
@@ -16,22 +16,55 @@ def tone(freq, seconds, sr=8000, amp=0.4):
     return amp * np.sin(2 * math.pi * freq * np.arange(int(seconds * sr)) / sr)
 
 
+def cut(treat, x, size):
+    return np.concatenate([*(treat.push(x[k : k + size]) for k in range(0, len(x), size)), treat.flush()])
+
+
+def plain_section(b, a, x):
+    z1 = z2 = 0.0
+    out = []
+    for v in x:
+        y = b[0] * v + z1
+        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+        out.append(y)
+    return np.array(out)
+
+
 def test_cutting_into_blocks_changes_nothing():
     x = np.random.default_rng(1).normal(size=5000)
     for kind in ("lowpass", "highpass", "bandpass", "notch", "peak", "lowshelf", "highshelf"):
         b, a = kernels.biquad(kind, 8000, 900, gain_db=4)
-        whole, _ = kernels.filter_block(b, a, x)
-        state, parts = (0.0, 0.0), []
-        for k in range(0, len(x), 997):
-            y, state = kernels.filter_block(b, a, x[k : k + 997], state)
-            parts.append(y)
-        assert np.allclose(np.concatenate(parts), whole, atol=1e-12)
+        assert all(np.allclose(cut(stateful.Section(b, a), x, size), plain_section(b, a, x), atol=1e-9) for size in (5000, 997, 3))
+    made = [
+        lambda: stateful.Limiter(0.5, 0.9, look=37, decimate=16), lambda: stateful.Compressor(attack=0.4, release=0.9), lambda: stateful.Ducker(0.5, 0.3, 0.9),
+        lambda: stateful.Delay(300, 0.4), lambda: stateful.Resampler(3, 2), lambda: stateful.Resampler(80, 147),
+        lambda: stateful.Chain(stateful.Section(*kernels.biquad("highpass", 8000, 50)), stateful.Compressor(), stateful.Limiter(0.8, 0.9, look=20)),
+    ]
+    for start in made:
+        whole = cut(start(), x, len(x))
+        assert all(np.allclose(cut(start(), x, size), whole, atol=1e-9) for size in (1, 13, 256, 997))
+        assert len(whole) in (5000, -(-5000 * 2 // 3), -(-5000 * 147 // 80))
+
+
+def test_limiter_holds_its_ceiling_and_looks_ahead():
+    x = tone(100, 1, amp=0.2)
+    x[4000] = 3.0
+    y = cut(stateful.Limiter(0.5, stateful.coefficient(50, 8000), look=40, decimate=1), x, 700)
+    assert len(y) == len(x) and np.abs(y).max() <= 0.5 and np.allclose(y[:3900], x[:3900])
+    assert abs(y[3960] / x[3960]) < 0.2 and abs(y[7900] / x[7900]) > 0.9
+
+
+def test_resampling_keeps_a_tone():
+    x = tone(440, 1, 44100)
+    y = kernels.resample(x, 44100, 11025)
+    want = tone(440, 1, 11025)
+    assert len(y) == 11025 and np.abs(y[100:-100] - want[100:-100]).max() < 5e-3
 
 
 def test_filters_pass_and_stop():
     low, high = tone(100, 1), tone(3000, 1)
     b, a = kernels.biquad("lowpass", 8000, 600)
-    level = lambda x: np.sqrt((kernels.filter_block(b, a, x)[0][2000:] ** 2).mean())
+    level = lambda x: np.sqrt((stateful.Section(b, a).push(x)[2000:] ** 2).mean())
     assert level(low) > 0.27 and level(high) < 0.02
 
 
@@ -47,7 +80,16 @@ def test_stretch_and_pitch():
 
 def test_true_peak_exceeds_the_samples():
     x = np.sin(2 * math.pi * np.arange(4000) / 4 + math.pi / 4)
-    assert np.abs(x).max() < 0.72 and abs(kernels.true_peak_db(x)) < 0.2
+    levels = []
+    for size in (4000, 333):
+        peak = stateful.TruePeak()
+        for k in range(0, len(x), size):
+            peak.push(x[k : k + size])
+        levels.append(peak.value_db())
+    assert np.abs(x).max() < 0.72 and abs(levels[0]) < 0.2 and abs(levels[0] - levels[1]) < 1e-9
+    long = stateful.TruePeak()
+    long.push(np.sin(np.arange(3_000_000)))
+    assert abs(long.value_db()) < 0.5  # the ends ring a little
 
 
 def test_hpss_splits_a_tone_and_a_click():
@@ -98,6 +140,24 @@ def test_track_operators_do_not_depend_on_block_size(spark, folder):
     assert out[0][0]["quiet.wav"] == float("-inf") == out[0][0]["short.wav"]
 
 
+def test_resampled_blocks_and_windows(spark, folder):
+    whole = audio.blocks(spark, str(folder), target_sr=4000).where("error is null").collect()
+    cut_ = audio.blocks(spark, str(folder), block_frames=700, target_sr=4000).where("error is null").collect()
+    by = lambda rows: {t: np.concatenate([r.l for r in sorted((r for r in rows if r.track == t), key=lambda r: r.block_no)]) for t in {r.track for r in rows}}
+    a, b = by(whole), by(cut_)
+    assert a.keys() == b.keys() and len(a) == 3 and all(np.allclose(a[t], b[t], atol=1e-6) for t in a) and sorted(map(len, a.values())) == [200, 4000, 4000]
+    found = audio.windows(audio.headers(spark, str(folder)), max_seconds=0.4, count=4)
+    rows = sorted((r.start, r.frames) for r in found.where("track like '%quiet%'").collect())
+    assert rows == [(600, 800), (2600, 800), (4600, 800), (6600, 800)] and found.where("track like '%short%'").count() == 1
+    assert sum(len(r.l) for r in audio.read(found).collect()) == 2 * 3200 + 400
+
+
+def test_peaks_are_found_at_one_rate(spark, folder):
+    rows = tracks.peaks(audio.mono(audio.blocks(spark, str(folder), block_frames=900))).where("error is null").collect()
+    bins = {r.bin for r in rows if "quiet" not in r.track}
+    assert bins and bins <= {19, 20, 21}
+
+
 def test_a_failing_track_is_a_row(spark, folder):
     def treat(x, sr):
         if not x.any():
@@ -123,3 +183,18 @@ def test_inputs_are_distinct_in_order(spark):
     playlists = spark.createDataFrame([(2, i, "/p", x) for i, x in enumerate(lines)], "ord int, sub int, folder string, line string")
     found = audio.collect_inputs(spark, listing, playlists).orderBy("ord", "sub").collect()
     assert [r.path for r in found] == ["/m/a.wav", "/m/odd.bin", "/m/b.wav", "/p/c.flac"]
+
+
+def test_inputs_are_listed(spark, folder):
+    (folder / "list.txt").write_text('# c\n"quiet.wav"\nmissing.wav\n\n')
+    found = audio.inputs(spark, str(folder / "list.txt"), str(folder), str(folder / "s*.wav"), str(folder / "note.txt")[:-8] + "broken.wav", str(folder / "none*"))
+    rows = [(r.path.rsplit("/", 1)[-1], r.error) for r in found.orderBy("ord", "sub").collect()]
+    assert rows == [("quiet.wav", None), ("missing.wav", "no such file"), ("a b.wav", None), ("broken.wav", None), ("empty.WAV", None), ("short.wav", None), ("none*", "no such file")]
+
+
+def test_sinks(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"0{i}:00 t{i}") for i in (2, 0, 1)], "pos int, line string").repartition(3)
+    audio.write_tracklist(lines, "pos", "line", f"{tmp_path}/list")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/list").collect()] == ["00:00 t0", "01:00 t1", "02:00 t2"]
+    audio.write_report(lines, f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").count() == 3

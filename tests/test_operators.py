@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tempograph.functions import scalar
+from tempograph.functions import kernels, scalar
 from tempograph.operators import catalogue, fingerprint, ordered, signal, timeline
 
 
@@ -63,6 +64,33 @@ def test_fingerprint_of_edges(spark):
     assert peaks([]) is not None
 
 
+def plain_score(a, b):
+    """Prominence of the best offset of a's anchors in b, by its definition; prints are sets of (h, t)."""
+    met = {}
+    for h, t in a:
+        for g, u in b:
+            if g == h:
+                met.setdefault(u - t, set()).add(t)
+    if not met:
+        return 0.0
+    merged = [len(met[o] | met.get(o - 1, set()) | met.get(o + 1, set())) for o in met]
+    best = max(merged)
+    rest = (sum(merged) - best) / (len(merged) - 1) if len(merged) > 1 else 0.0
+    return min(1.0, max(0.0, (best - rest) / len({t for _, t in a})))
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    rng = random.Random(9)
+    pack = lambda p: np.array(sorted(h << 32 | t for h, t in p), np.int64)
+    for places in (1 << 21, 5):
+        monkeypatch.setattr(kernels, "PLACES", places)
+        for _ in range(60):
+            a, b = ({(rng.randrange(6), rng.randrange(20)) for _ in range(rng.randrange(1, 30))} for _ in range(2))
+            got = kernels.offset_scores(pack(a), pack(b))
+            assert np.allclose(got, (plain_score(a, b), plain_score(b, a)))
+    assert kernels.offset_scores(pack([]), pack([(1, 2)])) == (0.0, 0.0)
+
+
 def test_same_fingerprint_scores_one_and_candidates_miss_nothing(spark):
     rng = random.Random(3)
     prints = []
@@ -71,13 +99,35 @@ def test_same_fingerprint_scores_one_and_candidates_miss_nothing(spark):
         prints += [(i, h, t) for h, t in base]
         if i % 3 == 0:
             prints += [(100 + i, h, t + 9) for h, t in base[: rng.randrange(10, 40)]]
-    df = spark.createDataFrame(sorted(set(prints)), "id int, h int, t int")
-    every = df.select(F.col("id").alias("a")).distinct().crossJoin(df.select(F.col("id").alias("b")).distinct()).where("a < b")
+    df = fingerprint.gathered(spark.createDataFrame(sorted(set(prints)), "id int, h int, t int"))
+    every = df.select(F.col("id").alias("a")).crossJoin(df.select(F.col("id").alias("b"))).where("a < b")
     scores = fingerprint.similarity(df, every).where("similarity >= 0.35")
     found = fingerprint.near_duplicates(df, 0.35)
     assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, found.collect())) and found.count() >= 2
-    self_pairs = fingerprint.align(df, df.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
-    assert self_pairs.where("score > 0.6").count() == self_pairs.count()
+    self_pairs = fingerprint.align(df, df.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    assert self_pairs.where("score > 0.6").count() == self_pairs.count() == df.count()
+
+
+def test_sequences_turned_stretched_and_cut_are_near(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(np.abs(np.cumsum(rng.normal(size=(40, 12)), axis=0)) + 0.1)
+    rows = [(1, base, 0.5), (2, np.roll(base, 5, axis=1), 0.5), (3, kernels.stretched_sequence(base, 1.25), 0.4), (4, base[10:30], 0.5), (5, unit(np.abs(rng.normal(size=(40, 12)))), 0.5), (6, base[:7], 0.5)]
+    df = spark.createDataFrame([(i, x.ravel().tolist(), s) for i, x, s in rows] + [(7, None, None)], "id long, seq array<double>, span double")
+    found = {r.id: r.distance for r in fingerprint.sequence_distances(df.where("id = 1"), df).collect()}
+    assert found[2] < 1e-3 and found[3] < 0.05 and found[4] < 1e-3 and found[5] > 0.1 and found[6] == found[7] == 1.0 and 1 not in found
+
+
+def test_ledger_rules_in_order(spark):
+    entries = spark.createDataFrame([(1, "s", True), (2, "s", False), (3, "t", False), (4, "u", False), (5, "v", False), (6, "w", True)], "id long, sha string, is_new boolean")
+    own = [(h * 7 % 90, h) for h in range(40)]
+    prints = [(1, own), (2, own), (3, own[:35] + [(500 + i, 40 + i) for i in range(5)]), (4, [(900 + i, i) for i in range(9)]), (5, [(700 + i, i) for i in range(9)]), (6, [])]
+    fps = spark.createDataFrame([(i, [{"h": h, "t": t} for h, t in p]) for i, p in prints], "id long, fp array<struct<h:int,t:int>>")
+    flat = lambda v: [float(x) for x in v] * 10
+    features = spark.createDataFrame([(1, flat([1, 0, 0]), 1.0), (3, flat([1, 0, 0]), 1.0), (4, flat([0, 1, 0]), 1.0), (5, flat([0.6, 0.6, 0.52]), 1.0)], "id long, seq array<double>, span double")
+    found = {(r.id, r.entry): (r.kind, r.place) for r in fingerprint.ledger_probe(entries, fps, features, width=3).collect()}
+    assert found == {(1, 2): (fingerprint.IDENTICAL, 1), (1, 3): (fingerprint.NEAR, 3), (1, 4): (fingerprint.ADVISORY, 2)}
+    assert fingerprint.ledger_probe(entries, fps).count() == 2
 
 
 def test_timeline_operators(spark):
@@ -89,19 +139,81 @@ def test_timeline_operators(spark):
     shown = [r.shown for r in timeline.repeated_titles(titles, "title", ["i"]).orderBy("i").collect()]
     assert shown[0] == "T" and shown[1] == "T (II)" and shown[7] == "T (VIII)" and shown[8] == "T (9)"
     assert value(spark, timeline.clean_title(F.lit("03 - some_song"))) == "Some Song" and value(spark, timeline.clean_title(F.lit("007"))) == "Untitled"
-    plan = timeline.section_plan(spark.createDataFrame([(1, 8), (2, 30)], "id int, bars int"), "bars", [("a", 8), ("b", 4)])
+    plan = timeline.section_plan(spark.createDataFrame([(1, 8), (2, 30), (3, 200)], "id int, bars int"), "id", "bars")
     rows = sorted((r.id, r.section, r.kind, r.start, r.length) for r in plan.collect())
-    assert rows == [(1, 0, "intro", 0, 4), (1, 1, "outro", 4, 4), (2, 0, "intro", 0, 4), (2, 1, "a", 4, 8), (2, 2, "b", 12, 4), (2, 3, "a", 16, 8), (2, 4, "b", 24, 4), (2, 5, "outro", 28, 4)] or rows[-1][3] + rows[-1][4] >= 30
+    assert rows[:2] == [(1, 0, "intro", 0, 4), (1, 1, "outro", 4, 4)] and [r[2] for r in rows if r[0] == 2] == ["intro", "verse", "main", "break", "main", "outro"]
+    for i, bars in ((1, 8), (2, 30), (3, 200)):
+        mine = [r for r in rows if r[0] == i]
+        assert all(a[3] + a[4] == b[3] for a, b in zip(mine, mine[1:])) and mine[-1][3] + mine[-1][4] >= bars
+
+
+def test_programmes(spark):
+    one = spark.createDataFrame([(1, 0, 100), (1, 1, 30), (1, 2, 5), (1, 3, 80), (2, 0, 3)], "g int, pos long, len long")
+    once = sorted(tuple(r) for r in timeline.mix_programme(one, "g", 40, 10, 10).collect())
+    assert once == [(1, 0, 0, 0, 0, 100, 0), (1, 1, 1, 0, 70, 30, 30), (1, 2, 3, 0, 100, 80, 0)]
+    laid = [r for r in timeline.mix_programme(one, "g", 40, 10, 10, 500).orderBy("segment").collect()]
+    assert {r.g for r in laid} == {1} and max(r.turn for r in laid) > 0 and laid[-1].start + laid[-1].frames >= 500
+    song = spark.createDataFrame([(1, 0, 60.0, 80.0, 0.0), (1, 1, 2.0, 80.0, 0.0)], "g int, pos long, seconds double, bpm double, downbeat double")
+    found = timeline.song_programme(song, "g", 10, 80.0, 4, 3000).collect()
+    assert {r.pos for r in found} == {0} and len({r.frames for r in found}) >= 1 and max(r.start + r.frames for r in found) >= 3000
+
+
+def test_lead_stays_in_the_scale(spark):
+    """Every melody note is of the chord or the scale, in the register, and depends on nothing but its bar."""
+    bars = spark.createDataFrame([(1, 0, b, True, 1.0, [60, 64, 67], 40, [0, 2, 4, 5, 7, 9, 11]) for b in range(64)], "k int, section int, bar int, lead boolean, intensity double, notes array<int>, bass int, tones array<int>")
+    bars = bars.withColumn("chord", F.struct("notes", "bass"))
+    motif = [(0, 2, 0), (3, 3, 1), (7, 2, 9), (9, 4, -9)]
+    found = timeline.expand_lead(bars, "k", motif, "tones").collect()
+    assert found and all(r.midi % 12 in (0, 2, 4, 5, 7, 9, 11) and 67 <= r.midi <= 88 for r in found)
+    assert all(r.midi % 12 in (0, 4, 7) for r in found if r.step % 4 == 0) and {r.step for r in found} == {0.0, 3.0, 7.0, 9.0}
+    again = timeline.expand_lead(bars.repartition(3).where("bar % 2 = 1"), "k", motif, "tones").collect()
+    assert sorted(map(tuple, again)) == sorted(tuple(r) for r in found if r.bar % 2 == 1)
 
 
 def test_catalogue_operators(spark):
-    assert value(spark, catalogue.voice(F.lit([40, 41, 64, 90]))) == [52, 64, 66]
-    assert value(spark, catalogue.filter_or_all(F.lit([1, 3]), lambda x: x > 5)) == [1, 3]
-    g = spark.createDataFrame([(1, '{"a":{"class_type":"K","_meta":{"title":"b"},"inputs":{"s":1,"t":["zz",0]}},"b":{"class_type":"b","inputs":{}}}'), (2, None), (3, "{}")], "g int, j string")
-    ns = catalogue.nodes(g, "g", "j")
-    ins = catalogue.inputs(ns, "g")
-    assert [r.node for r in catalogue.select_nodes(ns, "g", "b").collect()] == ["b"] and [r.node for r in catalogue.select_nodes(ns, "g", "k").collect()] == ["a"]
-    done = {r.field: (r.value, r.patched) for r in catalogue.patch(ins, catalogue.select_nodes(ns, "g", "a"), "g", "t", F.lit("9")).collect()}
-    assert done == {"s": ("1", False), "t": ('["zz",0]', False)}
-    assert [r.src for r in catalogue.dangling(ins, ns, "g").collect()] == ["zz"]
-    assert value(spark, catalogue.readiness(F.lit(-14.0), F.lit(-2.0), F.lit(3), F.lit("0:00 a"), F.lit(False))) == []
+    v = lambda c: value(spark, c)
+    assert v(catalogue.voice(F.lit([40, 41, 64, 90]))) == [52, 64, 66] and v(catalogue.voice(F.lit([64, 65]))) == [64, 65]
+    assert v(catalogue.voice(F.lit([60, 64, 67, 71]))) == [48, 64, 67, 71] and v(catalogue.voice(F.lit([60, 64, 67, 71]), spread=False)) == [60, 64, 67, 71]
+    assert v(catalogue.filter_or_all(F.lit([1, 3]), lambda x: x > 5)) == [1, 3]
+    assert v(catalogue.pick(F.lit(["a", "b"]), F.lit(0.99))) == "b" and v(catalogue.tempo_in(F.lit(170), F.lit(190), F.lit(0.9), F.lit(5))) == 180
+    ready = v(catalogue.readiness(F.lit(-14.0), F.lit(-2.0), F.lit(3), F.lit("0:00 a"), F.lit(False)))
+    assert (ready.problems, ready.notes) == ([], [])
+
+
+def test_graphs(spark):
+    texts = ['{"a":{"class_type":"K","_meta":{"title":"b"},"inputs":{"s":1,"t":["zz",0],"text":"x"}},"b":{"class_type":"b","inputs":{}}}', None, "{}", "[1]", '{"10":{"class_type":"X"},"9":{"class_type":"X"}}']
+    g = spark.createDataFrame(list(enumerate(texts)), "g int, j string").select("g", catalogue.graph(F.col("j")).alias("n"))
+    n = F.col("n")
+    at = lambda c: {r.g: r.v for r in g.select("g", c.alias("v")).collect()}
+    assert at(F.transform(n, lambda x: x.node)) == {0: ["a", "b"], 1: [], 2: [], 3: [], 4: ["9", "10"]}
+    assert at(catalogue.selected(n, F.lit("b")))[0] == ["b"] and at(catalogue.selected(n, F.lit("k")))[0] == ["a"] and at(catalogue.selected(n, F.lit("x")))[4] == ["9", "10"]
+    done = at(catalogue.set_input(n, F.array(F.lit("a"), F.lit("b")), F.lit("t"), F.lit("9")))[0]
+    assert done[0].inputs["t"] == '["zz",0]' and done[1].inputs == {}
+    assert at(catalogue.set_input(n, F.array(F.lit("b")), F.lit("t"), F.lit("9"), create=True))[0][1].inputs == {"t": "9"}
+    assert at(catalogue.set_where(n, F.lit("s"), F.lit("2"), ["K"]))[0][0].inputs["s"] == "2" and at(catalogue.set_where(n, F.lit("s"), F.lit("2"), ["Z"]))[0][0].inputs["s"] == "1"
+    assert at(catalogue.set_text(n, F.lit("b"), F.lit('"y"')))[0][0].inputs["text"] == '"x"' and at(catalogue.set_text(n, F.lit("a"), F.lit('"y"')))[0][0].inputs["text"] == '"y"'
+    assert [(r.node, r.src) for r in at(catalogue.dangling(n))[0]] == [("a", "zz")]
+    assert at(catalogue.graph_json(n))[0] == '{"a":{"class_type":"K","_meta":{"title":"b"},"inputs":{"s":1,"t":["zz",0],"text":"x"}},"b":{"class_type":"b","inputs":{}}}' and at(catalogue.graph_json(n))[1] == "{}"
+
+
+def test_provenance_and_memo(spark):
+    files = spark.createDataFrame([(1, "a", "top"), (2, "b", "top"), (3, "c", "none")], "path long, folder string, parent string")
+    manifests = spark.createDataFrame([("a", "builtin", 2, None, None), ("b", "lofify", 0, None, None), ("top", "ace-step", 1, "r", "cover")], "folder string, engine string, tracks int, reference string, ref_mode string")
+    found = {r.path: (r.engine, r.source, r.problem) for r in catalogue.provenance(files, manifests).collect()}
+    assert found == {1: ("builtin", "built-in", None), 2: ("ace-step", "cover", "cover"), 3: ("unknown", "unknown", None)}
+    asked = spark.createDataFrame([(1, i, k) for i, k in enumerate([1, 2, 1, 3, 1, 4, 1])], "g int, o int, k int").repartition(3)
+    assert [r.hit for r in catalogue.fifo(asked, "g", ["o"], "k", 2).orderBy("place").collect()] == [False, False, True, False, False, False, True]
+
+
+def test_long_series_are_cut_into_chunks(spark):
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=300)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(z)] + [(2, 0, 1.0)], "k int, frame long, z double")
+    want = np.correlate(z, z, "full")[299:] / (z * z).sum()
+    for chunk in (1024, 37):
+        got = {r.lag: r.ac for r in signal.autocorrelation(df, "k", (1, 60), chunk).where("k = 1").collect()}
+        assert np.allclose([got[i] for i in range(1, 61)], want[1:61])
+        medians = signal.moving_median(df.withColumnRenamed("frame", "n"), "k", "z", 8, chunk).where("k = 1").orderBy("n").collect()
+        padded = np.pad(z, 8, mode="edge")
+        assert np.allclose([r.median for r in medians], np.median(np.lib.stride_tricks.sliding_window_view(padded, 17), axis=1))
+    assert signal.autocorrelation(df.where("k = 2"), "k", (1, 60)).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions.scalar import bound, clip, fmt_time, key_distance, step_time
 from tempograph.operators.catalogue import melody_pool
+from tempograph.operators.ordered import numbered
 
 #: Suffixes of repeated titles.
 NUMERALS = ["II", "III", "IV", "V", "VI", "VII", "VIII"]
@@ -238,11 +239,16 @@ def clean_title(stem: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("Untitled"))
 
 
-def repeated_titles(tracks: DataFrame, title: str, order: list[str]) -> DataFrame:
-    """Adds `shown`: the nth track of a title gets (II) to (VIII), then (n)."""
-    n = F.row_number().over(W.partitionBy(title).orderBy(*order))
-    suffix = F.when(n <= len(NUMERALS) + 1, F.get(F.array(*map(F.lit, NUMERALS)), n - 2)).otherwise(n.cast("string"))
-    return tracks.withColumn("shown", F.when(n == 1, F.col(title)).otherwise(F.concat(F.col(title), F.lit(" ("), suffix, F.lit(")"))))
+def repeated_titles(tracks: DataFrame, title: str, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Adds `shown`: the nth track of a title gets (II) to (VIII), then (n).
+
+    `bucket`, which must not fall as the order rises, spreads a title that
+    very many tracks have over several tasks.
+    """
+    numbered_ = numbered(tracks, title, order, F.lit(0) if bucket is None else bucket)
+    n = F.col("n") + 1
+    suffix = F.when(n <= len(NUMERALS) + 1, F.get(F.array(*map(F.lit, NUMERALS)), (n - 2).cast("int"))).otherwise(n.cast("string"))
+    return numbered_.withColumn("shown", F.when(n == 1, F.col(title)).otherwise(F.concat(F.col(title), F.lit(" ("), suffix, F.lit(")")))).select(*tracks.columns, "shown")
 
 
 def chapter_lines(chapters: DataFrame, start: Column, total: Column, title: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempograph.plans import signals
 from tempograph.plans.signals import _SIGNAL, POLE
 from tempograph.streaming import meters
 
@@ -16,6 +17,20 @@ def stream_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("start", "event_type", F.col("l.n").alias("n"), F.round("l.total", 2).alias("total"))
 
 
+def stream_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = meters.drain(meters.hop_counts(meters.files(spark, sf_dir, "events"), "6 hours", None, "60 days", "event_type"), "update")
+    latest = found.groupBy("start", "event_type").agg(F.max(F.struct("batch", "n", "total")).alias("l"))
+    return latest.select("start", "event_type", F.col("l.n").alias("n"), F.round("l.total", 2).alias("total"))
+
+
+def stream_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`limiter_fold` as a stream; what the limiter holds comes out when the input ends."""
+    signal = meters.files(spark, sf_dir, "events").select("user_id", "ts", "event_id", ((F.col("value") - 50) / 50).alias("x"))
+    settings = (0.9, 0.8, 3, 2)
+    found = meters.drain(meters.running_limiter(signal, *settings), "update")
+    return meters.flushed(found, *settings).select("user_id", "n", F.round("y", 6).alias("y"))
+
+
 def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = meters.files(spark, sf_dir, "events").select("user_id", "ts", "event_id", ((F.col("value") - 50) / 50).alias("x"))
     found = meters.drain(meters.running_meter(signal, POLE), "update")
@@ -26,6 +41,8 @@ def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "stream_hop": """SELECT epoch(s)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total
 FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 2 HOURS, ts), time_bucket(INTERVAL 2 HOURS, ts) - INTERVAL 2 HOURS]) AS s FROM events) GROUP BY ALL""",
+    "stream_tumble": "SELECT epoch(time_bucket(INTERVAL 6 HOURS, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "stream_limiter": signals.SQL["limiter_fold"],
     "stream_meter": f"""WITH RECURSIVE s AS ({_SIGNAL[1:-1]}),
 f AS (SELECT user_id, n, {POLE} * x AS y FROM s WHERE n = 0 UNION ALL SELECT f.user_id, f.n + 1, {1 - POLE} * y + {POLE} * x FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1),
 l AS (SELECT user_id, arg_max(y, n) AS y FROM f GROUP BY 1)

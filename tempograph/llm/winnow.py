@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-K, W = 5, 16
+#: One setting for all sizes: small enough that a text of ten words has several choices.
+K, W = 3, 4
 PIECE = 24
 #: A choice is 40 bits of hash above 24 bits of position; positions go on modulo 2**24.
 POSITION = (1 << 24) - 1
@@ -31,12 +32,11 @@ def joined(a: Column, b: Column, ahead: int, op) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Hash of each K = 5 consecutive words: pairs, pairs of pairs, and the fifth word, so that work is shared by neighbours."""
+    """Hash of each K = 3 consecutive words: pairs, and the third word."""
 
     def of(words):
-        fours = bound(joined(words, words, 1, F.xxhash64), lambda twos: joined(twos, twos, 2, F.xxhash64))
-        fives = F.slice(joined(fours, words, 4, F.xxhash64), 1, F.size(words) - K + 1)
-        return F.when(F.size(words) >= K, fives).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+        threes = F.slice(bound(joined(words, words, 1, F.xxhash64), lambda twos: joined(twos, words, 2, F.xxhash64)), 1, F.size(words) - K + 1)
+        return F.when(F.size(words) >= K, threes).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
 
     return bound(F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0)), lambda w: F.xxhash64(w)), of)
 
@@ -47,13 +47,10 @@ def marked(grams: Column) -> Column:
 
 
 def chosen(marked: Column) -> Column:
-    """Distinct lowest values of each W = 16 consecutive ones, by minima over 2, 4, 8 and 16."""
+    """Distinct lowest values of each W = 4 consecutive ones, by minima over 2 and 4."""
 
     def of(values):
-        twos = joined(values, values, 1, F.least)
-        fours = bound(twos, lambda v: joined(v, v, 2, F.least))
-        eights = bound(fours, lambda v: joined(v, v, 4, F.least))
-        least = bound(eights, lambda v: joined(v, v, 8, F.least))
+        least = bound(joined(values, values, 1, F.least), lambda v: joined(v, v, 2, F.least))
         full = F.slice(least, 1, F.size(values) - W + 1)
         return F.when(F.size(values) > W, F.array_distinct(full)).when(F.size(values) > 0, F.array(F.array_min(values))).otherwise(F.array().cast("array<long>"))
 

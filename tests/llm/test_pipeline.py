@@ -9,7 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from tempograph.llm import quality
-from tests.llm import test_decontaminate, test_lines, test_simhash
+from tests.llm import test_decontaminate, test_lines, test_nearcopies
 
 
 def fixture():
@@ -28,7 +28,8 @@ def fixture():
         if i % 11 == 3:
             parts.append(rng.choice(items)[1])
         docs.append((i, "\n".join(parts), "en", f"s{i % 3}", 0))
-    docs += [(200 + i, docs[i * 7 + 1][1], "en", "copy", 0) for i in range(8)] + [(300, "", "en", "s", 0), (301, None, None, None, None)]
+    docs += [(200 + i, docs[i * 7 + 1][1], "en", "copy", 0) for i in range(8)]
+    docs += [(220 + i, f"{docs[i * 7 + 2][1]} {say(1)}", "en", "near copy", 0) for i in range(8)] + [(300, "", "en", "s", 0), (301, None, None, None, None)]
     labels = [(i, 0 if i % 6 == 0 else 1, 0) for i in range(0, 120)]
     return docs, labels, items
 
@@ -45,8 +46,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert not {i for i in good if i < 120 and i % 6 == 0} and good >= {i for i in range(120) if i % 6}
     rows = [(i, t) for i, t, *_ in docs if i in good]
     rows = [(i, t) for i, t, *_ in test_lines.plain(rows)]
-    roots = test_simhash.plain_components({i: test_simhash.plain_fingerprint(t) for i, t in rows})
-    rows = [(i, t) for i, t in rows if roots[i] == i]
+    before, rows = len(rows), test_nearcopies.plain_kept(rows)
+    assert len(rows) < before
     clean = {r[0] for r in test_decontaminate.plain(rows, items) if not r[5]}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -53,6 +53,22 @@ def test_unseen_spellings_score_by_their_subwords():
     assert model.score(pa.array([long]))[0] > model.score(pa.array(["bala " * 8000]))[0]
 
 
+def test_scores_equal_brute_force():
+    texts, y = corpus(300, 5)
+    model = fit(pa.array(texts), y, 0.2)
+    texts = [t.upper() if i % 5 == 0 else t for i, t in enumerate(corpus(60, 6)[0])] + ["", " \n", None, "é 東京 " * 90, "one"]
+
+    def weight(word):
+        (words,) = split_words(pa.array([word]), SPACED)
+        return float(np.mean(model.weights[subwords(words, np.arange(1))[0]].astype(float)))
+
+    for text, got in zip(texts, model.score(pa.array(texts, pa.string()))):
+        w = [weight(x) for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()]
+        starts = range(0, max(1, len(w) - toxicity.PASSAGE + toxicity.PASSAGE // 2), toxicity.PASSAGE // 2)
+        best = max(np.mean(w[s : s + toxicity.PASSAGE]) for s in starts) if w else 0.0
+        assert abs(got - 1 / (1 + np.exp(-(model.bias + best)))) < 1e-9
+
+
 def test_scores_of_odd_rows(spark):
     texts, y = corpus(120, 3)
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "null id", "x"), (500, None, "x"), (501, "", "x"), (501, "", "x"), (502, " \n", "x")]

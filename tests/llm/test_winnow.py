@@ -21,8 +21,8 @@ def plain_choices(text):
             h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
         return h
 
-    five = lambda a, b, c, d, e: fold([fold([fold([a, b]), fold([c, d])]), e])
-    grams = [five(*words[i : i + K]) for i in range(len(words) - K + 1)] if len(words) >= K else [fold(words)] * bool(words)
+    three = lambda a, b, c: fold([fold([a, b]), c])
+    grams = [three(*words[i : i + K]) for i in range(len(words) - K + 1)] if len(words) >= K else [fold(words)] * bool(words)
     out = []
     for s in range(max(1, len(grams) - W + 1)) if grams else []:
         # lowest hash, rightmost on ties
@@ -79,3 +79,17 @@ def test_a_shared_passage_is_always_found(spark):
         rows += [(2 * i, f"{say(rng.randrange(50))} {passage} {say(rng.randrange(50))}"), (2 * i + 1, f"{say(rng.randrange(50))} {passage} {say(rng.randrange(50))}")]
     found = {r.doc_id: {c >> 24 for c in r.choices} for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[2 * i] & found[2 * i + 1] for i in range(30))
+
+
+def test_short_texts_stay_near_their_edited_texts(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 30)))) for i in range(60)]
+    found = edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.near_edited > 0.1 for r in found) and all(r.near_next == 0 for r in found)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 50_000 + " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, text), (2, "x " + text)]
+    found = {r.doc_id: r for r in edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_chars == len(text) and found[2].near_next > 0.99

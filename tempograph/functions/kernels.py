@@ -71,6 +71,42 @@ def spectral_peaks(x: np.ndarray, win: int = 1024, hop: int = 512, sigmas: float
     return found.peaks(sigmas)
 
 
+#: Peaks that an anchor is paired with, and how far from it they may be in frames and bins.
+FAN_OUT, REACH = 3, 63
+
+
+def loud(owner: np.ndarray, level: np.ndarray, rows: int, sigmas: float = 0.8) -> np.ndarray:
+    """Which values are above the mean and `sigmas` population deviations of their owner's; levels are whole numbers."""
+    n, total, square = (np.bincount(owner, w, rows) for w in (None, level, level.astype(float) * level))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        floor = total / n + sigmas * np.sqrt(np.maximum(square * n - total * total, 0.0)) / n
+    return level > floor[owner]
+
+
+def landmark_pairs(owner: np.ndarray, t: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash << 32 | t) of the pairs of peaks in order of owner and t, sorted and distinct for each owner.
+
+    A peak is paired with the first FAN_OUT later ones of its owner within
+    REACH frames and bins; one pass looks at all peaks k places ahead.
+    """
+    taken, owners, pairs = np.zeros(len(t), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, REACH + 1):
+        dt, df = t[k:] - t[:-k], f[k:] - f[:-k]
+        near = (owner[k:] == owner[:-k]) & (dt <= REACH)
+        if not near.any():
+            break
+        at = np.flatnonzero(near & (np.abs(df) <= REACH) & (taken[:-k] < FAN_OUT))
+        taken[at] += 1
+        owners.append(owner[at])
+        pairs.append(((f[at] & 0x1FF) << 16 | ((df[at] + 63) & 0x7F) << 8 | (dt[at] & 0x3F)) << 32 | t[at])
+    owners, pairs = np.concatenate(owners), np.concatenate(pairs)
+    order = np.lexsort((pairs, owners))
+    owners, pairs = owners[order], pairs[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (owners[1:] != owners[:-1]) | (pairs[1:] != pairs[:-1])
+    return owners[new], pairs[new]
+
+
 #: Places of common hashes that are looked at in one go.
 PLACES = 1 << 21
 

@@ -28,9 +28,8 @@ def prints(docs: DataFrame) -> DataFrame:
     """(id, fp) of (doc_id, text)."""
     digest = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int"), F.lit(fp.BINS))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    frames = spread(docs).select("doc_id", words.alias("w")).select("doc_id", F.transform("w", lambda w, i: F.struct(i.alias("t"), digest(w).alias("f"), F.length(w).cast("double").alias("mag"))).alias("frames"))
-    peaks = frames.select("doc_id", fp.loud_frames(F.col("frames")).alias("peaks"))
-    return peaks.select(F.col("doc_id").alias("id"), fp.fingerprint(F.col("peaks")).alias("fp"))
+    frames = spread(docs).select(F.col("doc_id").alias("id"), words.alias("w")).select("id", F.transform("w", digest).alias("f"), F.transform("w", lambda w: F.length(w)).alias("mag"))
+    return fp.prints(frames)
 
 
 def _representatives(spark: SparkSession, sf_dir: str, sides: int = 1) -> tuple[DataFrame, DataFrame]:

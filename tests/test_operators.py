@@ -64,6 +64,16 @@ def test_fingerprint_of_edges(spark):
     assert peaks([]) is not None
 
 
+def test_prints_of_arrays_and_of_expressions_are_equal(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.randrange(512) for _ in range(n)], [rng.randrange(1, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 70, 300, 40])] + [(9, [5] * 30, [3] * 30), (10, None, None)]
+    df = spark.createDataFrame(rows, "id long, f array<int>, mag array<int>").repartition(2)
+    frames = df.select("id", F.transform(F.arrays_zip("f", "mag"), lambda z, i: F.struct(i.alias("t"), z.f.alias("f"), z.mag.cast("double").alias("mag"))).alias("frames"))
+    want = frames.where("frames is not null").select("id", fingerprint.fingerprint(fingerprint.loud_frames(F.col("frames"))).alias("fp"))
+    got = {r.id: r.fp for r in fingerprint.prints(df).collect()}
+    assert got.pop(10) == [] and got == {r.id: r.fp for r in want.collect()}
+
+
 def plain_score(a, b):
     """Prominence of the best offset of a's anchors in b, by its definition; prints are sets of (h, t)."""
     met = {}

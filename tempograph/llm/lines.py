@@ -105,6 +105,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     recurring = each.groupBy("key").agg(F.min("__doc").alias("low"), F.max("__doc").alias("high")).where("low < high").select("key", "low")
     gone = each.join(recurring, "key").where("low < __doc").groupBy("__doc", "__th").agg(F.collect_set("key").alias("__gone"))
     gone = store.table(gone.withColumnsRenamed({"__doc": "__d", "__th": "__t"}), "recurring")
+    store.drop(signed)
     joined = kept.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left").select(*names, "__gone")
     where = names.index("text")
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tempograph.llm import nearcopies
 from tempograph.llm.simhash import dedup_documents
 from tests.llm.test_simhash import words
 
@@ -71,6 +74,33 @@ def test_one_large_group_of_near_copies(spark):
     assert kept(spark, rows) == plain_kept(rows)
 
 
+def test_tiles_lose_no_pair(spark, monkeypatch):
+    """Every key in tiles of few members gives what brute force does."""
+    monkeypatch.setattr(nearcopies, "CROWDED", 1)
+    monkeypatch.setattr(nearcopies, "TILE", 3)
+    rng = random.Random(34)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"z{rng.random()}"
+        rows.append((i, " ".join(w[: rng.choice([20, 60, 90])])))
+    assert kept(spark, rows) == plain_kept(rows)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 1 << 9, rng.integers(0, 300)).astype(np.uint64)) for _ in range(2))
+        bits = np.stack([nearcopies.bitmap(x).view(np.uint64) for x in (a, b)])
+        far = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        assert far <= len(np.setxor1d(a, b))
+        i, _ = nearcopies.close(bits, np.array([len(a), len(b)]), np.array([0, 1]), None)
+        both = len(np.intersect1d(a, b))
+        assert len(i) or 5 * both < 4 * (len(a) + len(b) - both)
+
+
 def test_null_and_repeated_ids_do_not_join_components(spark):
     say = lambda k: " ".join(f"{k}{i}" for i in range(20))
     rows = [(None, say("a")), (None, say("b")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (3, say("e")), (None, say("d"))]

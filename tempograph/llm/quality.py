@@ -22,6 +22,8 @@ PER_CLASS = 1500
 BLOCK = 512
 THRESHOLD = 0.3
 
+#: Bytes of text that are embedded together; each distinct term of a row takes a row of the projection.
+CHUNK = 1 << 18
 _IDS = np.arange(256)
 #: Byte classes of a word's shape: upper, lower or non-ASCII letter, digit; other bytes stand for themselves.
 CLASS = np.where((_IDS >= 0x41) & (_IDS <= 0x5A), 0x41, np.where(((_IDS >= 0x61) & (_IDS <= 0x7A)) | (_IDS >= 0x80), 0x61, np.where((_IDS >= 0x30) & (_IDS <= 0x39), 0x30, _IDS))).astype(np.uint8)
@@ -64,7 +66,7 @@ class Model:
 
     def embed(self, column) -> np.ndarray:
         out = np.zeros((len(column), self.projection.shape[1]), np.float32)
-        for words in split_words(column):
+        for words in split_words(column, limit=CHUNK):
             if not len(words):
                 continue
             row, term, weight = counts(words)
@@ -130,5 +132,6 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose quality is predicted 1, unchanged; the model learns from all labels outside the held-out fold."""
-    found = scored(docs.select(F.struct("*").alias("row"), "text"), train(docs, labels, ~held_out(5, 0)))
-    return found.where(F.col("score") >= THRESHOLD).select("row.*")
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    found = scored(docs.select(others.alias("row"), "text"), train(docs, labels, ~held_out(5, 0))).where(F.col("score") >= THRESHOLD)
+    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

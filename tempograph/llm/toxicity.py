@@ -207,14 +207,16 @@ def held_out(parts: int, left: int):
 def scored(docs: DataFrame, model) -> DataFrame:
     """Docs and score, from 0 to 1, of the whole text (null: empty); a column named score is replaced."""
     names = [c for c in docs.columns if c != "score"]
+    # a text that is kept is not sent twice
+    source = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(batch.column("__text")))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(batch.column("text")))], names=[*names, "score"])
 
     schema = docs.select(*names).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn) -> Model:

@@ -1,7 +1,7 @@
 """Vectorised word splitting and hashing over Arrow text columns.
 
 Everything works on UTF-8 bytes of whole texts: no row is cut, and a batch is
-walked in chunks of about a megabyte so memory does not follow the batch size.
+walked in chunks of a quarter of a megabyte so memory does not follow the batch size.
 Null texts count as empty.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Just under a power of two, to which tables of powers are rounded up.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
 _IDS = np.arange(256)
 #: `[^\x20\x09-\x0D]+`

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tempograph.functions import kernels, scalar
+from tempograph.functions import kernels, landmarks, scalar
 from tempograph.operators import catalogue, fingerprint, ordered, signal, timeline
 
 
@@ -118,6 +118,37 @@ def test_same_fingerprint_scores_one_and_candidates_miss_nothing(spark):
     assert self_pairs.where("score > 0.6").count() == self_pairs.count() == df.count()
 
 
+def test_meetings_are_not_shuffled_and_blocks_lose_nothing(spark, monkeypatch):
+    """Blocks and pieces of few entries give what all pairs do, and no plan joins prints by hash."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 150)
+    monkeypatch.setattr(fingerprint, "PIECE", 70)
+    monkeypatch.setattr(landmarks, "MEETINGS", 40)
+    monkeypatch.setattr(landmarks, "ENTRIES", 50)
+    monkeypatch.setattr(landmarks, "MATCHES", 60)
+    rng = random.Random(8)
+    prints = [(i, rng.choice([1, 2, rng.randrange(1 << 25)]), t) for i in range(40) for t in range(rng.choice([1, 2, 5, 30]))]
+    prints += [(100 + i, h, t + 7) for i, h, t in prints if rng.random() < 0.8] + [(300, 5, 1 << 21), (301, 5, 3)]
+    df = fingerprint.gathered(spark.createDataFrame(sorted(set(prints)), "id int, h int, t int"))
+    every = df.select(F.col("id").alias("a")).crossJoin(df.select(F.col("id").alias("b"))).where("a < b")
+    want = sorted(map(tuple, fingerprint.similarity(df, every).where("similarity >= 0.35").collect()))
+    found = fingerprint.near_duplicates(df, 0.35)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 40
+    sides = fingerprint.near_duplicates(df, 0.35, F.col("id") < 100)
+    assert sorted(map(tuple, sides.collect())) == [x for x in want if (x[0] < 100) != (x[1] < 100)]
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_queries_in_blocks_meet_every_sequence(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.random(40 + 8 * (i % 3)).tolist(), 0.5) for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, seq array<double>, span double")
+    whole = sorted(map(tuple, fingerprint.sequence_distances(df.where("id < 15"), df, 4).collect()))
+    monkeypatch.setattr(fingerprint, "QUERY_VALUES", 200)
+    monkeypatch.setattr(fingerprint, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, fingerprint.sequence_distances(df.where("id < 15"), df, 4).collect())) == whole and len(whole) == 15 * 24
+    assert "Exchange" not in fingerprint.sequence_distances(df.where("id < 15"), df, 4)._jdf.queryExecution().toString()
+
+
 def test_sequences_turned_stretched_and_cut_are_near(spark):
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -8,6 +8,8 @@ that is left.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *bpe.public_ranks(), ["doc_id", "lang", "source"])
 
 
+def bounded(stage):
+    """The stage in a session with small batches, as its executors also hold what the stages before have left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        store.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", keep_good),
-    ("line dedup", drop_lines),
-    ("simhash near-dedup", near_dedup),
-    ("benchmark decontamination", decontaminated),
-    ("byte-level bpe", encode),
+    ("quality classifier", bounded(keep_good)),
+    ("line dedup", bounded(drop_lines)),
+    ("simhash near-dedup", bounded(near_dedup)),
+    ("benchmark decontamination", bounded(decontaminated)),
+    ("byte-level bpe", bounded(encode)),
 ]
 
 #: SQL has no XXH64 and cannot express the classifier or the tokenizer; tests/llm compares with brute force.

@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard index of at least 0.8, all of them.
 
-A 64-bit SimHash cannot find these: at an index of 0.8 two fingerprints differ
-in about ten bits, and no split into fields is selective at such a radius. So
-candidates come from a prefix filter, which loses none: whatever the order of
-shingles, two sets that are alike enough share k of the first
+SimHash comes first: fingerprints of the sets, linked by the bit planes of
+op2's operator, each link verified on whole sets. It cannot find all: at an
+index of 0.8 two fingerprints differ in about ten bits, and no split into
+fields is selective at such a radius. What lies beyond its radius comes from a
+prefix filter, which loses none: whatever the order of shingles, two sets that are alike enough share k of the first
 n - ceil(0.8 n) + k of each, for any k. Here k grows with the set (`common`),
 so that a text is a candidate only if a good part of its prefix is found
 elsewhere. Every candidate is verified on the whole sets.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm import store
+from tempograph.llm import simhash, store
 from tempograph.llm.components import components
 from tempograph.llm.words import GRAM, GRAM2, SPACED, U64, WORD, mix, runs, split_words
 
@@ -83,6 +84,11 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its shingles' hashes have, as a signed long."""
+    return int(simhash.majority(mix(grams), np.array([len(grams)])).view(np.int64)[0])
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
@@ -105,22 +111,23 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, th, h (the set's hash), n (its size), keys (its prefix), need (keys that a set alike shares, at least) and bits of every row."""
+    """doc_id, th, h (the set's hash), n (its size), keys (its prefix), need (keys that a set alike shares, at least), bits and fp (the SimHash) of every row."""
     frequent, often = _frequent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n, need, keys, bits = [], [], [], [], []
+            h, n, need, keys, bits, fp = [], [], [], [], [], []
             for _, grams in shingle_sets(batch.column("text")):
                 h.append(set_hash(grams))
                 n.append(len(grams))
                 need.append(common(least(len(grams))))
                 keys.append(prefix(grams, frequent, often))
                 bits.append(bitmap(grams).view(np.uint64))
-            new = [pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(need, pa.int64()), _lists(keys), _lists(bits)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *new], names=["doc_id", "th", "h", "n", "need", "keys", "bits"])
+                fp.append(fingerprint(grams))
+            new = [pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(need, pa.int64()), _lists(keys), _lists(bits), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *new], names=["doc_id", "th", "h", "n", "need", "keys", "bits", "fp"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h long, n long, need long, keys array<long>, bits array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h long, n long, need long, keys array<long>, bits array<long>, fp long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -156,6 +163,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (h, fp) that join all nodes whose fingerprints simhash.links joins, equal ones included."""
+    lows = store.table(nodes.groupBy("fp").agg(F.min("h").alias("low")), "near-simhash")
+    equal = nodes.join(lows, "fp").where("h <> low").select(F.col("low").alias("x"), F.col("h").alias("y"))
+    side = lambda c, low: lows.select(F.col("fp").alias(c), F.col("low").alias(low))
+    near = simhash.links(lows.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _met(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
     """a, b and n (the smaller size) of rows of one key that are not joined yet and whose sizes allow them to be alike; each pair `once`."""
     a, b = left.select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), right.select("key", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -232,30 +248,34 @@ def linked(docs: DataFrame) -> DataFrame:
     """doc_id, th and root of every row of docs (doc_id, text, th, a hash of text); rows of one component have one root.
 
     Rows are linked if their sets are equal or alike, those without words among
-    themselves. Equal sets are one node, and pairs that a chain of verified
+    themselves. Equal sets are one node, SimHash links those of near fingerprints,
+    the prefix filter finds what is left, and pairs that a chain of verified
     pairs already joins are left out, so a large group of copies costs about
     as many comparisons as it has members.
     """
     prints = store.table(_prints(docs), "near-prints")
-    nodes = store.table(prints.groupBy("h").agg(F.min("th").alias("t"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "near-nodes")
+    nodes = store.table(prints.groupBy("h").agg(F.min("th").alias("t"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "near-nodes")
     rows = store.table(prints.select("doc_id", "th", "h"), "near-rows")
     keys = nodes.select("h", "n", "need", F.explode("keys").alias("key"))
     crowded = store.table(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys")
     shared = store.table(keys.join(crowded, "key"), "near-shared")
-    able = store.table(shared.groupBy("h").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("h").join(nodes.select("h", "bits"), "h"), "near-able")
-    members = store.table(shared.join(able, "h").select("key", "h", "n", "bits"), "near-members")
+    able = store.table(shared.groupBy("h").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("h").join(nodes.select("h", "bits", "fp"), "h"), "near-able")
+    members = store.table(shared.join(able.drop("fp"), "h").select("key", "h", "n", "bits"), "near-members")
     # one text of each set that may be alike another
     chosen = store.table(nodes.select("h", "t").join(able.select("h"), "h"), "near-chosen")
-    for gone in (prints, nodes, crowded, shared, able):
+    for gone in (prints, nodes, crowded, shared):
         store.drop(gone)
     texts = docs.select("th", "text").join(chosen, F.col("th") == F.col("t")).dropDuplicates(["th"]).select("h", "text")
     sets = store.table(_sets(texts), "near-sets")
     total = members.count()
-    edges, roots, last = None, None, None
+    # sets that cannot be alike any other by their prefixes need no SimHash link either
+    pairs = store.table(simhash_pairs(able.select("h", "fp")), "near-simhash-pairs")
+    edges, last = store.table(_verified(pairs, sets), "near-edges"), None
+    for gone in (pairs, able):
+        store.drop(gone)
+    roots = store.table(components(edges), "near-roots")
     for turn in range(ROUNDS + 1):
-        rooted = members.withColumn("root", F.col("h"))
-        if roots is not None:
-            rooted = members.join(roots, members.h == roots.node, "left").select("key", "h", "n", "bits", F.coalesce("root", "h").alias("root"))
+        rooted = members.join(roots, members.h == roots.node, "left").select("key", "h", "n", "bits", F.coalesce("root", "h").alias("root"))
         # keys whose members are joined are done
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("m"))
         open_keys = store.table(sizes.where("m > 1"), "near-open")
@@ -273,15 +293,13 @@ def linked(docs: DataFrame) -> DataFrame:
         new = store.table(_verified(pairs, sets), "near-edges")
         for gone in (open_keys, rooted, pairs):
             store.drop(gone)
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
         roots = store.table(components(edges), "near-roots")
         if final:
             break
         last = left
     for gone in (members, sets, chosen):
         store.drop(gone)
-    if roots is None:
-        return rows.select("doc_id", "th", F.col("h").alias("root"))
     return rows.join(roots, rows.h == roots.node, "left").select("doc_id", "th", F.coalesce("root", "h").alias("root"))
 
 

@@ -241,5 +241,9 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """Docs without near copies (five-word shingles, Jaccard index of at least 0.8); see nearcopies.one_of_each."""
+    """Docs without near copies (five-word shingles, Jaccard index of at least 0.8).
+
+    Fingerprints within RADIUS bits are linked as in near_duplicates and
+    verified; an exact filter adds what lies beyond; see nearcopies.
+    """
     return nearcopies.one_of_each(docs)

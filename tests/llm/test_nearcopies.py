@@ -105,3 +105,38 @@ def test_null_and_repeated_ids_do_not_join_components(spark):
     say = lambda k: " ".join(f"{k}{i}" for i in range(20))
     rows = [(None, say("a")), (None, say("b")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (3, say("e")), (None, say("d"))]
     assert kept(spark, rows) == sorted([(None, say("a")), (None, say("b")), (None, say("c")), (7, say("d")), (3, say("e"))], key=str)
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    """Copies within two bits are joined by SimHash alone; the links are those of brute force."""
+    rng = random.Random(35)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    sets = [np.unique(np.array([hash(" ".join(w[i : i + 5])) % (1 << 62) for i in range(596)], np.uint64)) for w in ([*base[:k], "y", *base[k + 1 :]] for k in range(0, 600, 15))]
+    fps = [nearcopies.fingerprint(g) for g in sets]
+    pairs = nearcopies.simhash_pairs(spark.createDataFrame(list(enumerate(fps)), "h long, fp long")).collect()
+    near = {(i, j) for i in range(len(fps)) for j in range(i) if bin((fps[i] ^ fps[j]) % (1 << 64)).count("1") <= 2}
+
+    def roots(edges):
+        root = list(range(len(fps)))
+        for _ in fps:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots([(p.a, p.b) for p in pairs]) == roots(near) and near
+
+    monkeypatch.setattr(nearcopies, "_every", lambda rooted, sizes: rooted.where("false").selectExpr("h a", "h b"))
+    monkeypatch.setattr(nearcopies, "_met", lambda left, right, once=False: right.where("false").selectExpr("h a", "h b", "n"))
+    same = " ".join(base)
+    assert kept(spark, [(1, same), (2, same + " " + base[0] + " " + " ".join(base[:5])), (3, "other words stay here as they are")])[0] == (1, same)
+    copies = [(i, " ".join([*base, *base[: 5 + i]])) for i in range(12)]
+    assert len(kept(spark, copies)) < 12
+
+
+def test_pipeline_bounds_batches(spark):
+    from tempograph.llm import store
+
+    before = spark.conf.get(store.MOST)
+    store.small_batches(spark)
+    assert int(spark.conf.get(store.MOST).removesuffix("b")) == store.BATCH_BYTES
+    spark.conf.set(store.MOST, before)

@@ -7,9 +7,11 @@ import numpy as np
 SAMPLE = 4
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Suffix array by prefix doubling; equal symbols at 0 are told apart by position.
 
+    With a depth, suffixes need only be in the order of their first `depth` symbols.
+
     Symbol 0 is a separator: each is taken as a symbol of its own, below all
     others and growing with its position, so no comparison passes one. The
     number of rounds follows the longest run between separators.
@@ -29,6 +31,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = step
         top, width = int(step[-1]) + 1, width * 2
+        if depth is not None and width >= depth:
+            return order
         if top == n or width >= n:
             return order if top == n else np.lexsort((np.arange(n), rank))
 

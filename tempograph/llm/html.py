@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ REPEAT = 8
 SHARD_PAGES, SHARD_BYTES = 250, 16 << 20
 #: Outside a marked main part a block goes if so large a part of its words is covered by what another page repeats.
 COVERED = 0.5
-#: Inside one it takes a run that so large a share of an array's distinct texts has, and at least so many of them,
+#: Inside one it takes a run that so large a share of the host's distinct texts has, and at least so many of them,
 SHARE, LEAST_PAGES = 0.3, 5
 #: covering so large a part of the block, while so large a part of the main text is left.
 COVERED_MAIN, LEFT_MAIN = 0.9, 0.2
@@ -78,7 +80,7 @@ def _dropped(tag: str, at: dict[str, str]) -> str:
     """Why an element is no part of an article; empty if it may be."""
     if tag in DROPPED:
         return tag
-    if tag in ("html", "body", "main"):
+    if not at or tag in ("html", "body", "main"):
         return ""
     if "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
         return "hidden"
@@ -116,6 +118,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
     dropped, heading, header = 0, 0, 0
 
     def flush():
+        if not buffer and not waste:
+            return
         for parts, inside in ((buffer, tuple(c for _, _, c in stack if c >= 0)), (waste, None)):
             if parts:
                 text = " ".join("".join(parts).split())
@@ -233,7 +237,7 @@ def _equal_windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
     symbols = np.zeros(len(hashes) + len(sizes), np.int64)
     symbols[at] = symbol + 1
     row = np.repeat(np.arange(len(sizes)), sizes + 1)
-    order = suffix_array(symbols)
+    order = suffix_array(symbols, REPEAT)
     padded = np.concatenate([symbols, np.zeros(REPEAT, np.int64)])
     full = np.ones(len(order), bool)
     same = np.ones(len(order), bool)
@@ -256,15 +260,21 @@ def repeated_windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return place[group], np.minimum.reduceat(rows, group), np.maximum.reduceat(rows, group)
 
 
-def texts_with_window(hashes: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each word, how many distinct texts have the window that starts there; `text` numbers the rows' texts."""
-    out = np.zeros(len(hashes), np.int64)
+def windows_of_texts(hashes: np.ndarray, first: np.ndarray, least: int, asked=None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct window of REPEAT words that at least `least` rows have, and how many do.
+
+    `asked`, if given, tells of places whether their windows are to be counted instead.
+    """
     place, rows, group = _equal_windows(hashes, first)
-    if len(place):
-        number = np.cumsum(np.isin(np.arange(len(place)), group)) - 1
-        pairs = np.unique(number * (int(text.max()) + 1) + text[rows])
-        out[place] = np.bincount(pairs // (int(text.max()) + 1))[number]
-    return out
+    if not len(place):
+        return (np.zeros(0, np.int64),) * 2
+    size = np.diff(np.append(group, len(place)))
+    few = np.flatnonzero(size >= least if asked is None else asked(place[group]))
+    at, number = runs(group[few], size[few]), np.repeat(np.arange(len(few)), size[few])
+    pairs = np.unique(number * len(first) + rows[at])
+    n = np.bincount(pairs // len(first), minlength=len(few))
+    enough = n >= (least if asked is None else 0)
+    return place[group[few[enough]]], n[enough]
 
 
 def _covered(starts: np.ndarray, size: int) -> np.ndarray:
@@ -299,10 +309,16 @@ def _big(pages: DataFrame) -> DataFrame:
     return pages.groupBy("hosted").agg(F.ceil(size).alias("shards")).where("shards > 1")
 
 
-def _dealt(rows: DataFrame, big: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, big: DataFrame, *by: str) -> DataFrame:
     """Adds shards and shard. `big` has no hint: Spark broadcasts it only if its size allows."""
     shards = F.coalesce("shards", F.lit(1))
-    return rows.join(big, "hosted", "left").withColumns({"shard": F.pmod(F.xxhash64("key", "th"), shards), "shards": shards})
+    return rows.join(big, "hosted", "left").withColumns({"shard": F.pmod(F.xxhash64(*by), shards), "shards": shards})
+
+
+def _in_all_shards(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """Adds shard, with a copy of each row in every shard of its host."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shards", F.lit(1)).cast("long") - 1))
+    return rows.join(big, "hosted", "left").withColumn("shard", every).drop("shards")
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
@@ -337,7 +353,7 @@ def _shared(streams: DataFrame, big: DataFrame) -> DataFrame:
     repeated across them is found by merging their distinct windows, each with
     its first and last page, so no task sees a whole large host.
     """
-    dealt = _dealt(streams, big).select("hosted", "shards", "shard", "key", "stream")
+    dealt = _dealt(streams, big, "key", "th").select("hosted", "shards", "shard", "key", "stream")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(part: pa.Table, whole: bool) -> pa.RecordBatch:
@@ -371,35 +387,149 @@ def _page_windows(streams: DataFrame) -> DataFrame:
     return streams.select("hosted", "key", "th", "stream").mapInArrow(run, "hosted long, key long, th long, window long")
 
 
+def _kept(page: str | None) -> tuple[int, list[str]]:
+    """Blocks of a page's main part, or of one without any those outside what markup drops; and which of both."""
+    found = blocks(page or "")
+    kind = MAIN if any(k == MAIN for _, k in found) else OPEN
+    return kind, [t for t, k in found if k == kind]
+
+
+def _main_texts(pages: DataFrame) -> DataFrame:
+    """hosted, open (a text without a main part) and text, blocks of one to a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_kept(page) for page in batch.column("html").to_pylist()]
+            texts = pa.array(["\n".join(texts) for _, texts in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("hosted"), pa.array([k == OPEN and bool(t) for k, t in found], pa.bool_()), texts], names=["hosted", "open", "text"])
+
+    return pages.select("hosted", "html").mapInArrow(run, "hosted long, open boolean, text string")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out a text that equals the one before it, also of the batch before."""
+    before = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("hosted", "digest", "text"))))
+        fresh = [r[2] is None or r != b for r, b in zip(rows, [before, *rows])]
+        before = rows[-1] if rows else before
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
+COUNTS = "hosted long, window long, n long, slack long, open boolean"
+
+
+def _counts(pages: DataFrame, big: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Windows that many distinct texts of a suffix array have: n of them; and a row without window for each array, n its distinct texts.
+
+    Equal texts go to one array. An array that holds its whole host names just
+    the windows that are common on it; of a larger host's it names those in at
+    least half of SHARE of its texts, `slack` being how many texts may have one
+    that it does not name. If windows (hosted, window) are asked for, exactly
+    those are counted.
+    """
+    columns = ["hosted", "shards", "shard", "digest", "open", "text", "windows"]
+    texts = _dealt(_main_texts(pages).withColumn("digest", F.xxhash64("text")), big, "digest").withColumn("windows", F.lit(None).cast("array<long>")).select(columns)
+    if asked is not None:
+        lists = _in_all_shards(asked.groupBy("hosted").agg(F.collect_list("window").alias("windows")), big)
+        texts = texts.unionByName(lists.select("hosted", "shard", "windows"), allowMissingColumns=True)
+    named = asked is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+
+        def solved(part: pa.Table, whole: bool) -> pa.RecordBatch:
+            hosted = part["hosted"].to_numpy()[:1]
+            known["windows"] = wanted = _listed(part, hosted[0], known)
+            part = part.filter(pa.compute.is_valid(part["text"]))
+            hashes, first = _streams(part["text"].combine_chunks())
+            texts = len(part)
+            if whole and texts and part["shards"][0].as_py() == 1:
+                least, slack = max(LEAST_PAGES, math.ceil(texts * SHARE)), 0
+            else:
+                # at least 1, and slack is below texts * SHARE, so what no array names is not common
+                least = max(math.ceil(texts * SHARE / 2), min(2, math.ceil(texts * SHARE)), 1)
+                slack = least - 1
+            place, n = windows_of_texts(hashes, first, least, (lambda at: np.isin(_windows(hosted, hashes, at), wanted)) if named else None)
+            size = len(place) + 1
+            columns = [pa.array(np.repeat(hosted, size)), pa.array([*_windows(hosted, hashes, place).tolist(), None], pa.int64()), pa.array(np.append(n, texts)), pa.array(np.full(size, slack)), pa.array(np.full(size, pa.compute.any(part["open"]).as_py() or False))]
+            return pa.RecordBatch.from_arrays(columns, names=["hosted", "window", "n", "slack", "open"])
+
+        return _by_shard(_distinct(batches), solved)
+
+    n = store.shuffle_partitions(pages.sparkSession)
+    # lists of windows come first, and of equal texts an open page's
+    order = ["hosted", "shard", F.col("windows").isNull(), "digest", F.desc("open")]
+    return texts.repartition(n, "hosted", "shard").sortWithinPartitions(*order).mapInArrow(run, COUNTS)
+
+
+def _listed(part: pa.Table, hosted: int, known: dict) -> np.ndarray:
+    """Windows that a shard's rows list; those of the piece before if it began there."""
+    if known.get("shard") != (shard := (hosted, part["shard"][0].as_py())):
+        known.update(shard=shard, windows=np.zeros(0, np.int64))
+    lists = part["windows"].combine_chunks()
+    return np.concatenate([known["windows"], lists.flatten().to_numpy()])
+
+
+def _judged(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hosted, window) that are common on their host, and those for which arrays that do not name them must be asked."""
+    totals = counts.where("window is null").groupBy("hosted").agg(F.sum("n").alias("texts"), F.sum("slack").alias("free"))
+    sums = counts.where("window is not null").groupBy("hosted", "window").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+    need = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("texts") * SHARE))
+    judged = sums.join(totals, "hosted").select("hosted", "window", (F.col("n") >= need).alias("sure"), (F.col("n") + F.col("free") - F.col("slack") >= need).alias("open"))
+    return judged.where("sure").select("hosted", "window"), judged.where("open and not sure").select("hosted", "window")
+
+
+def _common(pages: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hosted, window) of windows that SHARE of the distinct texts of a host have, LEAST_PAGES at least; and hosts with open pages.
+
+    Exact over whole hosts, however their texts are dealt to arrays: a window
+    is named by an array if it may be common; where the arrays that do not
+    name it could decide, the texts of its host are counted once more.
+    """
+    counts = store.table(_counts(pages, big), "counts")
+    sure, asked = _judged(counts)
+    asked = store.table(asked, "asked")
+    if not asked.isEmpty():
+        again = _counts(pages.join(asked.select("hosted").distinct(), "hosted", "left_semi"), big, asked).withColumn("slack", F.lit(0))
+        sure = sure.unionByName(_judged(again)[0])
+    common = store.table(sure, "common")
+    hosts = store.table(counts.where("window is null and open").select("hosted").distinct(), "open-hosts")
+    for gone in (counts, asked):
+        store.drop(gone)
+    return common, hosts
+
+
 TEXTS = "page_id long, url string, text string, n_boilerplate long"
 
 
 def _solved(part: pa.Table, known: dict) -> pa.RecordBatch:
-    """Texts of the pages of one shard (rows of side 1); rows of side 0 hold what open pages repeat outside.
+    """Texts of the pages of one shard or piece of one (rows of side 1); rows of side 0 hold what open pages repeat outside, or what is common on the host.
 
-    `known` is what the last page of the piece before repeats; it is brought up to date.
+    `known` is what the piece before knew of its last page and its shard; it is brought up to date.
     """
     side = part["side"].to_numpy()
-    hits = known | {(r["key"], r["th"]): np.array(r["hits"]) for r in part.filter(pa.array(side == 0)).select(["key", "th", "hits"]).to_pylist()}
+    hosted = part["hosted"].to_numpy()[:1]
+    known["windows"] = _listed(part, hosted[0], known)
+    found = part.filter(pa.compute.and_(pa.array(side == 0), pa.compute.is_valid(part["hits"]))).select(["key", "th", "hits"])
+    hits = known.get("hits", {}) | {(r["key"], r["th"]): np.array(r["hits"]) for r in found.to_pylist()}
     last = (part["key"][-1].as_py(), part["th"][-1].as_py())
-    known.clear()
-    known.update({k: v for k, v in hits.items() if k == last})
+    known["hits"] = {k: v for k, v in hits.items() if k == last}
     pages = part.filter(pa.array(side == 1))
     lists, kinds = pages["blocks"].combine_chunks(), pages["kinds"].combine_chunks().flatten().to_numpy()
     flat = lists.flatten()
     bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
-    hashes, begins = _streams(flat)
+    # words are of use only where something repeats
+    hashes, begins = _streams(flat) if hits or len(known["windows"]) else (np.zeros(0, np.uint64), np.zeros(len(flat) + 1, np.int64))
     first = begins[bounds]
     listed = flat.to_pylist()
-    rows = ["\n".join(listed[a:b]) for a, b in zip(bounds, bounds[1:])]
-    number: dict[str, int] = {}
-    text = np.array([number.setdefault(r, len(number)) for r in rows], np.int64)
-    common = texts_with_window(hashes, first, text) >= max(LEAST_PAGES, -(-len(number) * SHARE // 1))
     lost = np.zeros(len(flat), bool)
-    covered = _covered(np.flatnonzero(common), len(hashes))
-    sums = np.append(0, np.cumsum(covered))
     size = np.diff(begins)
-    gone = (kinds == MAIN) & (size > 0) & (sums[begins[1:]] - sums[begins[:-1]] >= COVERED_MAIN * size)
+    gone = np.zeros(len(flat), bool)
+    if len(known["windows"]):
+        at = runs(first[:-1], np.maximum(np.diff(first) - REPEAT + 1, 0))
+        sums = np.append(0, np.cumsum(_covered(at[np.isin(_windows(hosted, hashes, at), known["windows"])], len(hashes))))
+        gone = (kinds == MAIN) & (size > 0) & (sums[begins[1:]] - sums[begins[:-1]] >= COVERED_MAIN * size)
     for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
         if a == b:
             continue
@@ -410,7 +540,7 @@ def _solved(part: pa.Table, known: dict) -> pa.RecordBatch:
         if found is not None:
             h = hashes[first[i] : first[i + 1]]
             at = np.arange(len(h) - REPEAT + 1)
-            at = at[np.isin(_windows(pages["hosted"].to_numpy()[i : i + 1], h, at), found)]
+            at = at[np.isin(_windows(hosted, h, at), found)]
             over = np.append(0, np.cumsum(_covered(at, len(h))))
             where = begins[a : b + 1] - first[i]
             lost[a:b] = over[where[1:]] - over[where[:-1]] >= np.maximum(COVERED * size[a:b], 1)
@@ -429,7 +559,7 @@ def extract(pages: DataFrame) -> DataFrame:
     is left. On a page without a main part a block goes if at least half of
     its words are covered by substrings of REPEAT or more words that another
     page of the host has. In a main part, where quotations and copies repeat
-    too, a block goes only if runs cover 90 % of it that 30 % of the array's
+    too, a block goes only if runs cover 90 % of it that 30 % of the host's
     distinct texts have (and at least LEAST_PAGES); if that would leave less
     than a fifth of the part, it stays whole. White space in a block becomes one
     space; blocks are joined by an empty line. Null and empty pages give an
@@ -439,29 +569,28 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     keyed = pages.select("page_id", "url", "html", F.xxhash64(host(F.col("url"))).alias("hosted"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("html", "url").alias("th"))
     big = store.table(_big(keyed), "big-hosts")
-    streams = store.table(_outside(keyed), "streams")
-    hosts = streams.where("not whole").select("hosted").distinct()
-    wanted = streams.join(hosts, "hosted", "left_semi")
-    shared = store.table(_shared(wanted, big), "shared")
+    common, hosts = _common(keyed, big)
+    streams = store.table(_outside(keyed.join(hosts, "hosted", "left_semi")), "streams")
+    shared = store.table(_shared(streams, big), "shared")
     hits = store.table(_page_windows(streams.where("not whole")).join(shared, "window").groupBy("hosted", "key", "th").agg(F.collect_set("window").alias("hits")), "hits")
-    for gone in (streams, shared):
+    for gone in (streams, shared, hosts):
         store.drop(gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kinds = [], []
             for page in batch.column("html").to_pylist():
-                found = blocks(page or "")
-                kind = MAIN if any(k == MAIN for _, k in found) else OPEN
-                texts.append([t for t, k in found if k == kind])
-                kinds.append([kind] * len(texts[-1]))
+                kind, found = _kept(page)
+                texts.append(found)
+                kinds.append([kind] * len(found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=[*keep, "blocks", "kinds"])
 
     keep = ["page_id", "url", "hosted", "key", "th"]
     parsed = keyed.select(*keep, "html").mapInArrow(run, "page_id long, url string, hosted long, key long, th long, blocks array<string>, kinds array<int>")
-    both = parsed.withColumn("side", F.lit(1)).unionByName(hits.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    both = _dealt(parsed.withColumn("side", F.lit(1)).unionByName(hits.withColumn("side", F.lit(0)), allowMissingColumns=True), big, "key", "th").drop("shards")
+    lists = _in_all_shards(common.groupBy("hosted").agg(F.collect_list("window").alias("windows")), big).withColumn("side", F.lit(0))
     n = store.shuffle_partitions(pages.sparkSession)
-    ordered = _dealt(both, big).drop("shards").repartition(n, "hosted", "shard").sortWithinPartitions("hosted", "shard", "key", "th", "side")
+    ordered = both.unionByName(lists, allowMissingColumns=True).repartition(n, "hosted", "shard").sortWithinPartitions("hosted", "shard", F.col("windows").isNull(), "key", "th", "side")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
